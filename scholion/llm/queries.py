@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import packing, spans, splitting, tokens
+from scholion.llm import lookalikes, packing, spans, splitting, tokens
 from scholion.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,25 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "toc_entries").where("toc_level >= 2 AND start_page > 0").select("book_id", F.col("start_page").alias("at"))
 
 
+def _in_one_form(spark: SparkSession, sf_dir: str, changed_only: bool) -> DataFrame:
+    fields = [("parsed_refs", "ref_id", "title"), ("citations", "cit_id", "text")]
+    tables = {t: table(spark, sf_dir, t) for t, _, _ in fields}
+    counts = lookalikes.code_points([(tables[t], c) for t, _, c in fields])
+    parts = [
+        lookalikes.rewrite(tables[t].select(F.col(i).alias("row_id"), c), c, counts, ["row_id"], changed_only=changed_only).select(F.lit(t).alias("table_name"), "row_id", "form")
+        for t, i, c in fields
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_one_form(spark, sf_dir, True).select("table_name", "row_id").distinct()
+
+
+def p6_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_one_form(spark, sf_dir, False).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
