@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import lookalikes, packing, spans, splitting, tokens
+from scholion.llm import lookalikes, packing, personal, spans, splitting, tokens
 from scholion.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _personal(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
+    citations = table(spark, sf_dir, "citations")
+    people = table(spark, sf_dir, "parsed_refs").select(F.col("author").alias("name")).unionByName(table(spark, sf_dir, "catalog_works").select(F.explode("authors").alias("name")))
+    return what(citations, "cit_id", "text", personal.given_names(people), lookalikes.code_points([(citations, "text")]))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir, personal.find).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir, personal.redact).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = splitting.chapter_bounds(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "size_limits"))
     pieces = splitting.split(splitting.oversized(bounds), _sections(spark, sf_dir), "book_id", ["book_id", "chapter_no"])
