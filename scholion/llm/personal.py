@@ -68,12 +68,15 @@ _PHONES = tuple(
         r"(?:1[\s.-])?\(\d{3}\)\s?\d{3}[\s.-]{1,2}\d{4}",
         r"1[\s.-]\d{3}[\s.-]{1,2}\d{3}[\s.-]{1,2}\d{4}",
         r"\d{3}([\s.-])\s?\d{3}\1\s?\d{4}",
-        r"0\d{2,5}\)?[\s/-]{1,2}\d{2,5}(?:[\s-]{1,2}\d{2,5}){0,3}",
+        r"0\d{2,5}\)?[\s/-]{1,2}\d{2,8}(?:[\s-]{1,2}\d{2,5}){0,3}",
         r"\d{3}-\s?\d{4}|\d{3} \d{4}(?=\s*(?:ext|x|Durchwahl)\.?\s*\d)",
     )
 )
 
 
+_LINE_ENDS = str.maketrans("\r\n\t", "   ")
+
+
 class Item(NamedTuple):
     start: int
     end: int
@@ -104,7 +107,7 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        flat = low.replace("\n", " ").replace("\r", " ")
+        flat, text = low.translate(_LINE_ENDS), text.translate(_LINE_ENDS)
         found: list[Item] = []
         for last, (size, kinds) in self.anchors.iter(flat):
             start, end = last + 1 - size, last + 1
@@ -160,15 +163,17 @@ class Finder:
         if before and before[1].lower() in NOT_PHONES and not re.search(r"(?i)(?:tel|phone|fax|mobile)\W*(?:no|nr|number)[\s.:]*$", text[max(0, run.start() - 24) : run.start()]):
             return []
         raw = run[0]
-        for p in _PHONES:
-            if m := p.match(raw):
-                tail = raw[m.end() :]
-                digits = sum(c.isdigit() for c in m[0])
-                if not 7 <= digits <= 15 or tail and (tail[0].isdigit() or re.match(r"[-.]\d", tail)):
-                    continue
-                if re.fullmatch(r"\d{4}[-.]\d{2}[-.]\d{2}", m[0]):
-                    continue
-                return [Item(run.start(), run.start() + m.end(), "phone")]
+        # The number may stand in brackets or follow another number: every group of digits is tried as its start.
+        for at in (k for k in range(len(raw)) if (raw[k].isdigit() or raw[k] in "+(") and (not k or raw[k - 1] in " (" or raw[k] == "+")):
+            for p in _PHONES:
+                if m := p.match(raw, at):
+                    tail = raw[m.end() :]
+                    digits = sum(c.isdigit() for c in m[0])
+                    if not 7 <= digits <= 15 or tail and (tail[0].isdigit() or re.match(r"[-.]\d", tail)):
+                        continue
+                    if re.fullmatch(r"\d{4}[-.]\d{2}[-.]\d{2}", m[0]):
+                        continue
+                    return [Item(run.start() + at, run.start() + m.end(), "phone")]
         return []
 
     def redact(self, text: str) -> str:

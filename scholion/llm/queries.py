@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import lookalikes, packing, personal, spans, splitting, tokens
+from scholion.llm import lookalikes, packing, personal, residue, spans, splitting, tokens
 from scholion.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find(table(spark, sf_dir, "link_checks"))
+
+
 def _personal(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
     citations = table(spark, sf_dir, "citations")
     people = table(spark, sf_dir, "parsed_refs").select(F.col("author").alias("name")).unionByName(table(spark, sf_dir, "catalog_works").select(F.explode("authors").alias("name")))
