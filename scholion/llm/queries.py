@@ -7,12 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import lookalikes, packing, personal, residue, spans, splitting, tokens
+from scholion.llm import linkage, lookalikes, packing, personal, residue, spans, splitting, tokens
 from scholion.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "parsed_refs")
+    refs = parsed.select(F.col("ref_id").alias("id"), "title", F.col("author").alias("people"), "year", "doi")
+    catalog = table(spark, sf_dir, "catalog_works")
+    # Redelivered records count once, the latest.
+    fields = ["title", "authors", "year", "doi"]
+    latest = catalog.groupBy("work_id").agg(F.max_by(F.struct(*fields), F.struct("retrieved_at", *fields)).alias("r"))
+    readings = table(spark, sf_dir, "course_readings")
+    split = F.split(F.regexp_replace("author_line", r"\s*(?:;|&|\band\b|,\s*&)\s*", ";"), r"\s*;\s*")
+    # Lines such as `Doe, A., Roe, B.` and `Ann Doe, Bob Roe` are cut at the commas between people.
+    people = F.flatten(F.transform(split, lambda x: F.split(F.regexp_replace(F.regexp_replace(x, r"(\p{Lu}\.),\s*", "$1;"), r"(\p{L}{2,} \p{L}{2,}),\s*", "$1;"), r";\s*")))
+    records = latest.select(F.col("work_id").alias("id"), "r.title", F.col("r.authors").alias("people"), "r.year", "r.doi").unionByName(
+        readings.select(F.col("work_id").alias("id"), F.col("shelf_title").alias("title"), people.alias("people"), F.col("pub_year").alias("year"), "doi")
+    )
+    counts = lookalikes.code_points([(parsed, "title"), (parsed, "author"), (catalog, "title")])
+    return linkage.link(refs, records, counts)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select("ref_id", "work_id").distinct()
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find(table(spark, sf_dir, "link_checks"))
 
