@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm import linkage, lookalikes, packing, personal, residue, spans, splitting, tokens
+from scholion.llm import linkage, lookalikes, packing, personal, residue, scanned, spans, splitting, tokens
 from scholion.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,22 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir)
 
 
+def _readable(spark: SparkSession, sf_dir: str, cases_only: bool) -> DataFrame:
+    citations = table(spark, sf_dir, "citations")
+    counts = lookalikes.code_points([(citations, "text")])
+    words = scanned.lexicon(table(spark, sf_dir, "documents"), "text", citations, "text")
+    vectors = scanned.skip_grams(citations, "text", words)
+    return scanned.repair(citations, "cit_id", "text", words, vectors, counts, cases_only)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readable(spark, sf_dir, True).select("cit_id").distinct()
+
+
+def p2_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readable(spark, sf_dir, False).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find(table(spark, sf_dir, "link_checks"))
 
