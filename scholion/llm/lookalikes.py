@@ -201,8 +201,9 @@ def code_points(tables: list[tuple[DataFrame, str]]) -> dict[int, int]:
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
             text = "".join(t for t in batch.column(0).to_pylist() if t)
-            n = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)) if text else []
-            total[: len(n)] += n
+            if text:
+                n = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+                total[: len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["code", "n"])
 

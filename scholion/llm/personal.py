@@ -74,7 +74,8 @@ _PHONES = tuple(
 )
 
 
-_LINE_ENDS = str.maketrans("\r\n\t", "   ")
+# Line ends as blanks and wide signs as ordinary ones; both keep every position.
+_LINE_ENDS = str.maketrans("\r\n\t", "   ") | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 
 
 class Item(NamedTuple):

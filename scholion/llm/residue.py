@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from scholion.llm.graph import components
 from scholion.runtime import cut as lineage_cut
 
-HAMMING = 5
+HAMMING = 6
 SIMILARITY = 0.8
 #: Words that a part beside a residue phrase may have at most to count as a site's name.
 SITE_WORDS = 4
 #: Blocks of the SimHash and blocks in a key, by the number of distinct cores they suit; all find HAMMING bits.
-TABLES = ((1 << 20, 7, 2), (1 << 26, 8, 3), (1 << 62, 10, 5))
+TABLES = ((1 << 18, 8, 2), (1 << 24, 9, 3), (1 << 62, 11, 5))
 
 _SLOT = re.compile(
     r"\{\{.*?\}\}|\{%.*?%\}|\$\{.*?\}|\{\$.*?\}|<%.*?%>|\[\[.*?\]\]|%%\s*\w[\w .-]*%%|%[A-Za-z][A-Za-z0-9_.-]{2,}%|@@\w[\w .-]*@@|@\{.*?\}|#\{.*?\}|#[A-Za-z_]{3,}#|__[A-Za-z][A-Za-z0-9_]*__"
