@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholion.functions import responses as R
 from scholion.functions import similarity as S
 from scholion.functions import text as T
 from scholion.operators import choose, link, parse
@@ -406,6 +407,115 @@ def vector_topk(spark, d):
     return choose.nearest(table(spark, d, "embeddings"), 10, 50)
 
 
+# Markers, quotations and replies
+
+
+@_query
+def apa_markers(spark, d):
+    """Author-year markers in brackets and in the running text, counted by name and year."""
+    text = F.col("text")
+    paren = F.transform(F.regexp_extract_all(text, F.lit(r"(\(\p{Lu}[\p{L}'-]+(?: (?:&|and) \p{Lu}[\p{L}'-]+| et al\.)?, \d{4}[a-z]?)"), F.lit(1)), lambda x: F.struct(F.lit("parenthetical").alias("kind"), F.regexp_extract(x, r"\((\p{Lu}[\p{L}'-]+)", 1).alias("name"), F.regexp_extract(x, r"(\d{4})", 1).alias("year")))
+    told = F.transform(F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}'-]+(?: (?:&|and) \p{Lu}[\p{L}'-]+| et al\.)? \(\d{4}[a-z]?\))"), F.lit(1)), lambda x: F.struct(F.lit("narrative").alias("kind"), F.regexp_extract(x, r"^(\p{Lu}[\p{L}'-]+)", 1).alias("name"), F.regexp_extract(x, r"(\d{4})", 1).alias("year")))
+    return table(spark, d, "documents").where("text IS NOT NULL").select(F.inline(F.concat(paren, told))).groupBy("kind", "name", "year").agg(F.count("*").alias("n"))
+
+
+@_query
+def mla_markers(spark, d):
+    """Author-page markers in brackets, by paper."""
+    marks = F.regexp_extract_all("text", F.lit(r"\((\p{Lu}[\p{L}'-]+)(?: et al\.)? \d{1,4}(?:-\d{1,4})?\)"), F.lit(1))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(marks).alias("n_marks"), F.size(F.array_distinct(marks)).alias("n_names")).where("n_marks > 0")
+
+
+@_query
+def secondary_markers(spark, d):
+    """Citations at second hand: the work named and the one it was read in."""
+    pattern = r"\((\p{Lu}[\p{L}'-]+)[^()]*?,? as cited in (\p{Lu}[\p{L}'-]+)"
+    c = _cits(spark, d).where("text IS NOT NULL").select("cit_id", F.regexp_extract("text", pattern, 1).alias("original"), F.regexp_extract("text", pattern, 2).alias("read_in"))
+    return c.where("original <> ''")
+
+
+@_query
+def quote_verify(spark, d):
+    """Whether the quoted words of a citation stand in its paper: exactly, by their first fifty characters, or not."""
+    quote = F.regexp_extract("text", r"[\x{201C}\"]([^\x{201C}\x{201D}\"]{3,})[\x{201D}\"]", 1)
+    quotes = _cits(spark, d).where("claim_type = 'quotation' AND text IS NOT NULL").select("cit_id", "doc_id", T.normalize_text(quote).alias("q")).where("q <> ''")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.normalize_text(F.col("text")).alias("body"))
+    probe = F.substring("q", 1, 50)
+    outcome = F.when(F.instr(F.col("body"), F.col("q")) > 0, "exact").when((F.char_length("q") > 20) & (F.instr(F.col("body"), probe) > 0), "near").otherwise("missing")
+    return quotes.join(docs, "doc_id").select("cit_id", outcome.alias("outcome"))
+
+
+@_query
+def uncited_sentences(spark, d):
+    """Sentences of cited paragraphs that no citation's text starts with or is started by, counted by paragraph."""
+    sents = parse.sentence_rows(table(spark, d, "documents")).select("doc_id", F.col("para_idx").alias("paragraph_index"), "sent_idx", F.lower(F.substring("sentence", 1, 30)).alias("s"))
+    cits = _cits(spark, d).where("text <> ''").select("doc_id", "paragraph_index", F.lower(F.substring("text", 1, 30)).alias("c"))
+    cited = sents.join(cits.select("doc_id", "paragraph_index").distinct(), ["doc_id", "paragraph_index"], "left_semi")
+    free = cited.join(cits.select("doc_id", "paragraph_index", F.col("c").alias("s")).distinct(), ["doc_id", "paragraph_index", "s"], "left_anti")
+    return free.groupBy("doc_id", "paragraph_index").agg(F.count("*").alias("n"))
+
+
+@_query
+def paper_hints(spark, d):
+    """Per paper the sorted distinct surnames and the number of its references."""
+    return link.surname_index(_refs(spark, d)).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("surname")), " ").alias("surnames"), F.countDistinct("ref_id").alias("n_refs"))
+
+
+@_query
+def paper_keywords(spark, d):
+    """The ten most frequent significant words of each paper, ties in order of the alphabet."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{5,})"), F.lit(1))
+    counts = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
+    return counts.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+
+
+@_query
+def reference_batches(spark, d):
+    """References of a paper in batches of ten, in order."""
+    order = Window.partitionBy("doc_id").orderBy("ref_idx", "ref_id")
+    at = _refs(spark, d).withColumn("batch", F.floor((F.row_number().over(order) - 1) / 10).cast("long"))
+    return at.groupBy("doc_id", "batch").agg(F.count("*").alias("n"), F.min("ref_id").alias("first_ref"))
+
+
+@_query
+def search_text(spark, d):
+    """The text that a title search sends: significant tokens and the first surname."""
+    tokens = F.array_join(F.slice(S.significant_tokens(F.col("title")), 1, 8), " ")
+    return _refs(spark, d).where("title IS NOT NULL").select("ref_id", F.trim(F.concat_ws(" ", tokens, F.try_element_at(S.surnames(F.coalesce("author", F.lit(""))), F.lit(1)))).alias("query"))
+
+
+@_query
+def html_title_extract(spark, d):
+    page = F.concat(F.lit('<html><head><meta property="og:title" content=" "><TITLE lang="x">\n'), F.col("page_title"), F.lit(" </TITLE></head>"))
+    return _checks(spark, d).where("page_title IS NOT NULL").select("check_id", R.html_title(page).alias("title"))
+
+
+@_query
+def flag_coercion(spark, d):
+    return _checks(spark, d).select("check_id", R.truthy(F.when(F.col("category") == "ok", F.lit(" Yes ")).when(F.col("category") == "dead", F.lit("no")).otherwise(F.col("category"))).alias("flag"))
+
+
+@_query
+def json_salvage(spark, d):
+    """Event properties cut short and salvaged (closing truncated JSON has no SQL form)."""
+    cut = F.concat(F.lit('{"items": [{"a": 1}, '), F.col("props"), F.lit(', {"b": "cut'))
+    return table(spark, d, "events").select("event_id", R.salvage_json(cut).alias("whole")).select("event_id", F.size(F.from_json("whole", "items array<map<string,string>>")["items"]).alias("n_items"))
+
+
+@_query
+def event_properties(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@_query
+def call_spacing(spark, d):
+    """Events that follow the same user's last one within a minute, by type."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    close = F.col("ts") < F.lag("ts").over(order) + F.expr("INTERVAL 60 SECONDS")
+    return table(spark, d, "events").withColumn("close", F.coalesce(close, F.lit(False))).groupBy("event_type").agg(F.count_if("close").alias("n_close"), F.count("*").alias("n"))
+
+
 # Events
 
 

@@ -146,6 +146,22 @@ SQL: dict[str, str] = {
       SELECT doc_id, CAST(batch AS BIGINT) AS batch, count(*) AS n_paragraphs, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM b GROUP BY doc_id, batch""",
     "vector_topk": """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id)
       SELECT query_id, id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 10""",
+    "apa_markers": r"""WITH m AS (SELECT 'parenthetical' AS kind, unnest(regexp_extract_all(text, '(\(\p{Lu}[\p{L}''-]+(?: (?:&|and) \p{Lu}[\p{L}''-]+| et al\.)?, \d{4}[a-z]?)', 1)) AS x FROM documents
+      UNION ALL SELECT 'narrative', unnest(regexp_extract_all(text, '(\p{Lu}[\p{L}''-]+(?: (?:&|and) \p{Lu}[\p{L}''-]+| et al\.)? \(\d{4}[a-z]?\))', 1)) FROM documents)
+      SELECT kind, regexp_extract(x, '^\(?(\p{Lu}[\p{L}''-]+)', 1) AS name, regexp_extract(x, '(\d{4})', 1) AS year, count(*) AS n FROM m GROUP BY ALL""",
+    "mla_markers": r"""SELECT doc_id, len(m) AS n_marks, len(list_distinct(m)) AS n_names FROM (SELECT doc_id, regexp_extract_all(text, '\((\p{Lu}[\p{L}''-]+)(?: et al\.)? \d{1,4}(?:-\d{1,4})?\)', 1) AS m FROM documents WHERE text IS NOT NULL) WHERE len(m) > 0""",
+    "secondary_markers": rf"""{_WITH}, m AS (SELECT cit_id, regexp_extract(text, '\((\p{{Lu}}[\p{{L}}''-]+)[^()]*?,? as cited in (\p{{Lu}}[\p{{L}}''-]+)', ['o', 'r']) AS g FROM cits WHERE text IS NOT NULL) SELECT cit_id, g.o AS original, g.r AS read_in FROM m WHERE g.o <> ''""",
+    "quote_verify": rf"""{_WITH}, q AS (SELECT cit_id, doc_id, lower({_squeeze(r"regexp_extract(text, '[\x{201C}" + '"' + r"]([^\x{201C}\x{201D}" + '"' + r"]{3,})[\x{201D}" + '"' + r"]', 1)")}) AS q FROM cits WHERE claim_type = 'quotation' AND text IS NOT NULL), b AS (SELECT doc_id, lower({_squeeze('text')}) AS body FROM documents WHERE text IS NOT NULL)
+      SELECT cit_id, CASE WHEN contains(body, q) THEN 'exact' WHEN length(q) > 20 AND contains(body, substr(q, 1, 50)) THEN 'near' ELSE 'missing' END AS outcome FROM q JOIN b USING (doc_id) WHERE q <> ''""",
+    "uncited_sentences": f"""{_WITH}, s AS (SELECT doc_id, CAST(para_idx AS INT) AS paragraph_index, lower(substr(sentence, 1, 30)) AS s FROM ({_SENTENCES})), c AS (SELECT doc_id, paragraph_index, lower(substr(text, 1, 30)) AS c FROM cits WHERE text <> '')
+      SELECT doc_id, paragraph_index, count(*) AS n FROM s WHERE EXISTS (SELECT 1 FROM c WHERE c.doc_id = s.doc_id AND c.paragraph_index = s.paragraph_index) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = s.doc_id AND c.paragraph_index = s.paragraph_index AND c.c = s.s) GROUP BY ALL""",
+    "paper_hints": f"{_WITH}, {_SURNAMES} SELECT doc_id, string_agg(DISTINCT surname, ' ' ORDER BY surname) AS surnames, count(DISTINCT ref_id) AS n_refs FROM sur GROUP BY doc_id",
+    "paper_keywords": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 10",
+    "reference_batches": f"{_WITH}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx, ref_id) - 1) // 10 AS batch FROM refs) SELECT doc_id, batch, count(*) AS n, min(ref_id) AS first_ref FROM b GROUP BY ALL",
+    "html_title_extract": rf"{_WITH} SELECT check_id, nullif({_squeeze('page_title')}, '') AS title FROM checks WHERE page_title IS NOT NULL",
+    "flag_coercion": f"{_WITH} SELECT check_id, category IN ('ok', 'true', 'yes', '1', 't', 'y') AS flag FROM checks",
+    "event_properties": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "call_spacing": "SELECT event_type, count(*) FILTER (close) AS n_close, count(*) AS n FROM (SELECT *, coalesce(ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 60 SECOND, false) AS close FROM events) GROUP BY event_type",
     "job_latest_state": "SELECT user_id, event_type AS last_type, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "dead_letters": "SELECT user_id, n_errors, last_error FROM (SELECT user_id, count(*) AS n_errors, arg_max(event_id, (ts, event_id)) AS last_error FROM events WHERE event_type = 'error' GROUP BY user_id) WHERE n_errors > 3",
     "retry_backoff": "SELECT event_id, CAST(a AS INT) AS attempt, CAST(least(600, 60 * (1 << least(a - 1, 10))) AS INT) AS wait_s FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events WHERE event_type = 'error')",

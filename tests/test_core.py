@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from scholion.functions import responses
 from scholion.functions import similarity as S
 from scholion.functions import text as T
 from scholion.operators import choose, link, parse
@@ -104,5 +105,13 @@ def test_query_equals_sql(spark, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, rows)
 
 
+@pytest.mark.parametrize(
+    "text, whole",
+    [('{"a": [1, 2', '{"a": [1, 2]}'), ('{"a": [{"b": "x, y"}, {"c": "cu', '{"a": [{"b": "x, y"}]}'), ('{"a": 1}', '{"a": 1}'), ("]", None), ("", None), (None, None), ('{"a', None)],
+)
+def test_salvage(text, whole):
+    assert responses.salvage(text) == whole
+
+
 def test_every_query_has_sql_or_a_reason():
-    assert set(queries.queries()) - set(sql.oracle_sql()) == {"author_similarity"}
+    assert set(queries.queries()) - set(sql.oracle_sql()) == {"author_similarity", "json_salvage", "search_text"}
