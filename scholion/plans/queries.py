@@ -158,8 +158,8 @@ def chapter_ranges(spark, d):
 
 @_query
 def inverted_index_rebuild(spark, d):
-    """The first fifty words of each paper as an inverted index, and the text rebuilt from it."""
-    words = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(T.squeeze(F.col("text")), " ")).alias("pos", "word")).where("pos < 50")
+    """The words of each paper as an inverted index, and the text rebuilt from it."""
+    words = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(T.squeeze(F.col("text")), " ")).alias("pos", "word"))
     index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
     back = index.select("doc_id", "word", F.explode("at").alias("pos"))
     return back.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("rebuilt"), F.countDistinct("word").alias("n_words"))
@@ -190,7 +190,7 @@ def phantom_references(spark, d):
 
 @_query
 def scope_references(spark, d):
-    return _refs(spark, d).join(_cits(spark, d).where("paragraph_index < 3").select("doc_id", "citation_key"), ["doc_id", "citation_key"], "left_semi").select("ref_id", "doc_id")
+    return _refs(spark, d).join(_cits(spark, d).where("claim_type = 'quotation'").select("doc_id", "citation_key"), ["doc_id", "citation_key"], "left_semi").select("ref_id", "doc_id")
 
 
 @_query

@@ -96,14 +96,14 @@ SQL: dict[str, str] = {
     "cite_tag_parse": f"{_WITH} SELECT cit_id, citation_key AS key, length(text) AS body_chars FROM cits WHERE text IS NOT NULL AND citation_key IS NOT NULL",
     "chapter_ranges": r"""WITH r AS (SELECT DISTINCT book_id, pos, title, start_page, logical_pages FROM toc_entries WHERE toc_level = 1 AND start_page > 0 AND regexp_matches(title, '^\d{1,3}[.)]?\s'))
       SELECT book_id, pos, title, start_page AS page_start, greatest(start_page, coalesce(lead(start_page) OVER (PARTITION BY book_id ORDER BY pos, start_page, title) - 1, logical_pages)) AS page_end FROM r""",
-    "inverted_index_rebuild": f"SELECT doc_id, array_to_string(w[1:50], ' ') AS rebuilt, len(list_distinct(w[1:50])) AS n_words FROM (SELECT doc_id, string_split({_squeeze('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL)",
+    "inverted_index_rebuild": f"SELECT doc_id, array_to_string(w, ' ') AS rebuilt, len(list_distinct(w)) AS n_words FROM (SELECT doc_id, string_split({_squeeze('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL)",
     "surname_index": f"{_WITH}, {_SURNAMES} SELECT doc_id, surname, count(*) AS n_refs, min(ref_idx) AS first_idx FROM sur GROUP BY doc_id, surname",
     "citation_links": rf"""{_WITH}, {_SURNAMES}, m AS (SELECT cit_id, doc_id, lower(regexp_extract(citation_marker, '([\p{{Lu}}][\p{{L}}''-]+)', 1)) AS surname, regexp_extract(citation_marker, '(\d{{4}})', 1) AS y FROM cits),
       j AS (SELECT cit_id, ref_id, ref_idx, y <> '' AND coalesce(contains(year, y), false) AS exact_year FROM m JOIN sur USING (doc_id, surname) WHERE surname <> '')
       SELECT cit_id, ref_id, exact_year FROM (SELECT *, row_number() OVER (PARTITION BY cit_id ORDER BY exact_year DESC, ref_idx, ref_id) AS rn FROM j) WHERE rn = 1""",
     "orphan_citations": f"{_WITH} SELECT cit_id, doc_id, citation_key FROM cits c WHERE citation_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = c.doc_id AND r.citation_key = c.citation_key)",
     "phantom_references": f"{_WITH} SELECT ref_id, doc_id, citation_key FROM refs r WHERE NOT EXISTS (SELECT 1 FROM cits c WHERE r.doc_id = c.doc_id AND r.citation_key = c.citation_key)",
-    "scope_references": f"{_WITH} SELECT ref_id, doc_id FROM refs r WHERE EXISTS (SELECT 1 FROM cits c WHERE r.doc_id = c.doc_id AND r.citation_key = c.citation_key AND c.paragraph_index < 3)",
+    "scope_references": f"{_WITH} SELECT ref_id, doc_id FROM refs r WHERE EXISTS (SELECT 1 FROM cits c WHERE r.doc_id = c.doc_id AND r.citation_key = c.citation_key AND c.claim_type = 'quotation')",
     "cache_lookup": f"{_WITH}, {_VIA} SELECT ref_id, work_id, via FROM via",
     "paragraph_densify": f"{_WITH}, g AS (SELECT doc_id, unnest(range(max(paragraph_index) + 1)) AS paragraph_index FROM cits WHERE paragraph_index >= 0 GROUP BY doc_id), n AS (SELECT doc_id, paragraph_index, count(*) AS n FROM cits GROUP BY ALL) SELECT doc_id, CAST(g.paragraph_index AS INT) AS paragraph_index, coalesce(n, 0) AS n_citations FROM g LEFT JOIN n USING (doc_id, paragraph_index)",
     "span_lookup": f"{_WITH}, p AS ({_PARAS}) SELECT cit_id, CASE WHEN para IS NULL THEN 'no_paragraph' WHEN contains(lower({_squeeze('para')}), lower({_squeeze('text')})) THEN 'exact' ELSE 'differs' END AS outcome FROM cits c LEFT JOIN p ON p.doc_id = c.doc_id AND p.para_idx = c.paragraph_index WHERE text <> ''",
