@@ -160,10 +160,12 @@ class Finder:
 
     @staticmethod
     def _phone(text: str, run: re.Match) -> list[Item]:
+        raw = run[0]
+        if sum(c.isdigit() for c in raw) < 7:
+            return []
         before = re.search(r"([^\W\d_]+(?:-Nr)?|№)[\s.:#]*$", text[max(0, run.start() - 24) : run.start()])
         if before and before[1].lower() in NOT_PHONES and not re.search(r"(?i)(?:tel|phone|fax|mobile)\W*(?:no|nr|number)[\s.:]*$", text[max(0, run.start() - 24) : run.start()]):
             return []
-        raw = run[0]
         # The number may stand in brackets or follow another number: every group of digits is tried as its start.
         for at in (k for k in range(len(raw)) if (raw[k].isdigit() or raw[k] in "+(") and (not k or raw[k - 1] in " (" or raw[k] == "+")):
             for p in _PHONES:
