@@ -74,8 +74,9 @@ _PHONES = tuple(
 )
 
 
-# Line ends as blanks and wide signs as ordinary ones; both keep every position.
-_LINE_ENDS = str.maketrans("\r\n\t", "   ") | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+# Wide signs as ordinary ones; every position stays.
+_WIDE = re.compile("[\uff01-\uff5e]")
+_ORDINARY = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 
 
 class Item(NamedTuple):
@@ -105,10 +106,12 @@ class Finder:
 
     def items(self, text: str) -> list[Item]:
         """The items of a text in the form of problem 6, in order and without overlap."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        flat, text = low.translate(_LINE_ENDS), text.translate(_LINE_ENDS)
+        text = text.replace("\n", " ").replace("\r", " ").replace("\t", " ")
+        if _WIDE.search(text):
+            text = text.translate(_ORDINARY)
+        flat = text.lower()
+        if len(flat) != len(text):
+            flat = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found: list[Item] = []
         for last, (size, kinds) in self.anchors.iter(flat):
             start, end = last + 1 - size, last + 1
