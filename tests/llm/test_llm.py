@@ -37,6 +37,23 @@ def links(spark, refs, works=CATALOG):
     return {(r["ref_id"], r["work_id"]) for r in linkage.link(frame(spark, refs, REFS), frame(spark, works, WORKS), {}).collect()}
 
 
+def test_linkage_of_titles_misspelt_in_most_words(spark):
+    refs = [
+        (1, "Pubilc Potttery and Ownreship in Inchhlm", None, None, None),
+        (2, "Silnt Litteracy in Ulvhian", None, None, None),
+        (3, "Quiett", None, None, None),
+        (4, "Crtics and Repsonse", None, None, None),
+        (5, "Meausring Gardns", None, None, None),
+    ]
+    works = [*CATALOG, (105, "Quiet", None, None, None), (106, "Critics and Response", None, None, None), (107, "Measuring Gardens of Ilverkeld and Some Extraordinarily Complicated Circumnavigations Misinterpreted Throughout Mediterranean", None, None, None)]
+    works += [(200 + k, f"Critics and Response {w}", None, None, None) for k, w in enumerate("".join(chr(97 + (i * k) % 26) for k in range(1, 8)) for i in range(1, 16))]
+    got = links(spark, refs, works)
+    assert {(1, 100), (1, 101), (2, 103), (3, 105), (4, 106)} <= got and not got & {(1, 102), (2, 100), (4, 200)}
+    common = frozenset()
+    keys = [set(linkage.tolerant_keys(*zip(*linkage.tolerant_tokens(t, [], common)), w)[0]) for t, w in (("measuring gardens", False), (linkage.fold(works[len(CATALOG) + 2][1]), True))]
+    assert keys[0] & keys[1]  # the first two words of a longer title are a key
+
+
 def test_linkage(spark):
     refs = [
         (1, "Public Pottery and Ownership in Inchholm", "R. Voskova", "2011", None),
