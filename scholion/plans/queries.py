@@ -447,12 +447,12 @@ def quote_verify(spark, d):
 
 @_query
 def uncited_sentences(spark, d):
-    """Sentences of cited paragraphs that no citation's text starts with or is started by, counted by paragraph."""
-    sents = parse.sentence_rows(table(spark, d, "documents")).select("doc_id", F.col("para_idx").alias("paragraph_index"), "sent_idx", F.lower(F.substring("sentence", 1, 30)).alias("s"))
-    cits = _cits(spark, d).where("text <> ''").select("doc_id", "paragraph_index", F.lower(F.substring("text", 1, 30)).alias("c"))
-    cited = sents.join(cits.select("doc_id", "paragraph_index").distinct(), ["doc_id", "paragraph_index"], "left_semi")
-    free = cited.join(cits.select("doc_id", "paragraph_index", F.col("c").alias("s")).distinct(), ["doc_id", "paragraph_index", "s"], "left_anti")
-    return free.groupBy("doc_id", "paragraph_index").agg(F.count("*").alias("n"))
+    """Sentences of cited paragraphs whose first 30 characters stand in no citation's text, and that hold no citation's first 30, counted by paragraph."""
+    sents = parse.sentence_rows(table(spark, d, "documents")).select("doc_id", F.col("para_idx").alias("paragraph_index"), "sent_idx", F.lower("sentence").alias("s"), F.lower(F.substring("sentence", 1, 30)).alias("s_start"))
+    cits = _cits(spark, d).where("text <> ''").select("doc_id", "paragraph_index", F.lower("text").alias("c"), F.lower(F.substring("text", 1, 30)).alias("c_start")).distinct()
+    covers = F.expr("instr(c, s_start) > 0 OR instr(s, c_start) > 0")
+    at = sents.join(cits, ["doc_id", "paragraph_index"]).groupBy("doc_id", "paragraph_index", "sent_idx").agg(F.bool_or(covers).alias("cited"))
+    return at.where("NOT cited").groupBy("doc_id", "paragraph_index").agg(F.count("*").alias("n"))
 
 
 @_query

@@ -91,6 +91,18 @@ def test_nearest_is_exact(spark):
     assert choose.nearest(df.where("false"), 3, 50).count() == 0
 
 
+def test_uncited_sentences_by_containment(spark, tmp_path):
+    para = "The first sentence opens the long citation. The second one goes on with its argument. As was said, it holds a citation inside of it. Brief it is. Nobody cites this last sentence."
+    spark.createDataFrame([(1, para + "\n\nNo citation is here at all.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = ["The first sentence opens the long citation. The second one goes on with its argument.", "it holds a citation inside of it", "And brief it is. So there."]
+    rows = [(i, 1, 0, i, t) for i, t in enumerate(texts)] + [(9, 1, 0, 9, "")]
+    cits = spark.createDataFrame(rows, "cit_id long, doc_id long, paragraph_index int, seq int, text string")
+    for c in ("claim_type", "citation_key", "citation_marker", "marker_type", "confidence", "drop_reason"):
+        cits = cits.withColumn(c, F.lit(None).cast("string"))
+    cits.write.parquet(f"{tmp_path}/citations.parquet")
+    assert [tuple(r) for r in queries.queries()["uncited_sentences"](spark, str(tmp_path)).collect()] == [(1, 0, 1)]
+
+
 def test_latest_version_wins(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, None, 1)], "id long, v string, at int")
     assert sorted(map(tuple, choose.latest(df, "id", "at", ["v"]).collect())) == [(1, "b"), (2, None)]
