@@ -4,7 +4,9 @@ Every distinct title is split at the separators that sites put between a page's
 A title with an unfilled slot anywhere is residue by itself. For the rest the core of each title
 (digits levelled, a short site name left out) gets a 64-bit SimHash of its character trigrams.
 Cores are partitioned into tables keyed by combinations of SimHash blocks, which finds every pair
-within HAMMING bits; pairs are verified by Hamming distance and trigram similarity. Trusted labels
+within HAMMING bits; as short titles move by more bits than that, pairs of a core's rarest trigrams
+are keys as well, which finds every pair of the least similarity. Pairs are verified by trigram
+similarity. Trusted labels
 (known phrases on one side, titles that agree with the cited title on the other) then spread
 through connected components; a component with any trusted content is content.
 
@@ -132,10 +134,33 @@ def block_keys(value: int, blocks: int, choose: int) -> list[int]:
     return keys
 
 
+def prefix_pairs(cores: DataFrame) -> DataFrame:
+    """(a, b): every pair of cores whose trigram similarity may be SIMILARITY, by an exact prefix filter.
+
+    In one order of all trigrams (rare ones first) similar cores share at least two of their first
+    n - ceil(SIMILARITY * n) + 2; pairs of those are the keys, and sizes have to agree.
+    """
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"core": f["core"], "gram": [list(trigrams(c)) for c in f["core"]]})
+
+    rows = lineage_cut(cores.mapInPandas(grams, "core string, gram array<string>").select("core", F.explode("gram").alias("gram")))
+    ranked = rows.join(rows.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    sets = ranked.groupBy("core").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g")).withColumn("size", F.size("g"))
+    first = sets.select("core", "size", F.expr(f"slice(g, 1, cast(size - ceil({SIMILARITY}D * size - 1e-9D) + 2 AS int))").alias("p"))
+    pairs = F.expr("flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> xxhash64(x.gram, y.gram))))")
+    keyed = lineage_cut(first.select("core", "size", F.explode(pairs).alias("key")))
+    other = keyed.select(F.col("core").alias("b"), F.col("size").alias("m"), "key")
+    alike = keyed.join(other, "key").where(f"core < b AND size >= {SIMILARITY}D * m - 1e-9D AND m >= {SIMILARITY}D * size - 1e-9D")
+    return alike.select(F.col("core").alias("a"), "b").distinct()
+
+
 def near_links(cores: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct cores within HAMMING bits whose trigram similarity is at least SIMILARITY.
+    """(a, b): the pairs of distinct cores whose trigram similarity is at least SIMILARITY.
 
-    `cores` has the one column core, distinct. Only pairs in a common SimHash table are compared.
+    `cores` has the one column core, distinct. Pairs in a common SimHash table or with two common
+    trigrams in their prefixes are compared.
     """
     n = cores.count()
     blocks, choose = next((b, c) for limit, b, c in TABLES if n <= limit)
@@ -157,7 +182,8 @@ def near_links(cores: DataFrame) -> DataFrame:
                 keep.append(len(x & y) >= SIMILARITY * len(x | y))
             yield f[keep]
 
-    return close.select(F.col("core").alias("a"), "b").distinct().mapInPandas(verified, "a string, b string")
+    close = close.select(F.col("core").alias("a"), "b").union(prefix_pairs(cores))
+    return close.distinct().mapInPandas(verified, "a string, b string")
 
 
 def find(checks: DataFrame, id_col: str = "check_id", title_col: str = "page_title", cited_col: str = "cited_title") -> DataFrame:

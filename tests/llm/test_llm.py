@@ -148,6 +148,23 @@ def test_residue_spreads_through_near_duplicates(spark):
     assert residue.find(frame(spark, [], "check_id long, page_title string, cited_title string")).count() == 0
 
 
+def test_near_links_are_every_pair_of_the_similarity(spark):
+    random.seed(4)
+    words = "silent reading pottery gardens ownership measuring digital credit harbour ledger moral training".split()
+    cores = set()
+    for _ in range(60):
+        t = " ".join(random.sample(words, 5))
+        cores |= {t, t + "s", t[:7] + "x" + t[7:], t[:-6], t.replace("e", "a", 1)}
+    wanted = set()
+    for a in cores:
+        for b in cores:
+            x, y = residue.trigrams(a), residue.trigrams(b)
+            if a < b and len(x & y) >= residue.SIMILARITY * len(x | y):
+                wanted.add((a, b))
+    far = [p for p in wanted if bin(residue.simhash(p[0]) ^ residue.simhash(p[1])).count("1") > residue.HAMMING]
+    assert far and {tuple(r) for r in residue.near_links(frame(spark, [(c,) for c in cores], "core string")).collect()} == wanted
+
+
 def test_simhash_tables_find_every_near_pair():
     random.seed(2)
     for blocks, choose in ((8, 2), (9, 3), (11, 5)):
