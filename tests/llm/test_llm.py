@@ -146,23 +146,25 @@ def test_skip_grams_tell_contexts_apart(spark):
 # 3. Residue
 
 
-@pytest.mark.parametrize(
-    "title, found",
-    [
-        ("{{ title }}", True), ("Real Work of Reading - %SITENAME%", True), ("404 Not Found", True), ("The Ulvhain Library: Sorry, we can't find that page", True), ("Untitled-8", True), ("null | Ulvhain Press", True),
-        ("Please enable JavaScript", True), ("Loading…", True), ("Lorem ipsum dolor | Ulvhain Review", True),
-        ("404 Days at Sea: the Industrial Chess of Ilverkeld", False), ("Access Denied: Rethinking Evidence in Ulvrigg and After", False), ("Ulvhain Review", False), ("Volume 12 | Ulvhain Press", False), ("Silent Reading", False),
-    ],
-)
-def test_residue_rules(title, found):
-    assert (residue.has_slot(title) or residue.trusted(residue.level(title))) is found
-
-
-def test_residue_spreads_through_near_duplicates(spark):
-    rows = [(1, "The requested article does not exist", None), (2, "The requestedd article does not exist", None), (3, None, "x"), (4, "  ", None), (5, "Silent reading in Ulvhain and after", "Silent reading in Ulvhain and after"), (1, "The requested article does not exist", None)]
-    got = residue.find(frame(spark, rows, "check_id long, page_title string, cited_title string"))
-    assert sorted(r[0] for r in got.collect()) == [1, 2]
-    assert residue.find(frame(spark, [], "check_id long, page_title string, cited_title string")).count() == 0
+RESIDUE = "check_id long, page_title string, cited_title string, url string"
+
+
+def test_residue(spark):
+    real = [f"Silent {w} in Ulvhain and After" for w in "reading pottery gardens ownership measuring credit harbour ledger training masonry census weather".split()]
+    rows = [(k, f"{t} | Ulvhain Review", t, f"https://h{k}.example/{k}") for k, t in enumerate(real)]
+    cases = ["{{ title }}", "Real Work of Reading - %SITENAME%", "404 Not Found", "Untitled-8", "null | Ulvhain Review", "Please enable JavaScript", "Please enable JavaScript!", "Loading…", "Please enable JavaScripts", "Page Not Found | Another Site"]
+    content = ["404 Days at Sea: the Industrial Chess of Ilverkeld", "Access Denied: Rethinking Evidence in Ulvrigg and After", "Ulvhain Review", "Silent Reading", None, "", "  "]
+    rows += [(100 + k, t, "A Work Cited by Title", "https://x.example") for k, t in enumerate(cases)]
+    rows += [(200 + k, t, None, "https://y.example") for k, t in enumerate(content)]
+    # Never once the cited title, on many hosts: no phrase is known, but chance is ruled out.
+    rows += [(300 + k, "Valet machina, redi cras", f"{t} volume {k}", f"https://h{k}.example/x") for k, t in enumerate(real * 8)]
+    rows += [(500 + k, "Valet machina, redi cras." if k else "Valet machina, redi crass", "A Work Cited by Title", "https://z.example") for k in range(2)]
+    got = residue.labelled(frame(spark, [*rows, *rows[:40]], RESIDUE))
+    how = {r["check_id"]: r["how"] for r in got.collect()}
+    assert got.count() == len(how)
+    assert set(how) == {100 + k for k in range(len(cases))} | {300 + k for k in range(96)} | {500, 501}
+    assert how[100] == "slot" and how[102] == "seed" and how[108] == "link" and how[300] == "evidence" and how[500] == "link"
+    assert residue.find(frame(spark, [], RESIDUE)).count() == 0
 
 
 def test_near_links_are_every_pair_of_the_similarity(spark):
@@ -178,7 +180,7 @@ def test_near_links_are_every_pair_of_the_similarity(spark):
             x, y = residue.trigrams(a), residue.trigrams(b)
             if a < b and len(x & y) >= residue.SIMILARITY * len(x | y):
                 wanted.add((a, b))
-    far = [p for p in wanted if bin(residue.simhash(p[0]) ^ residue.simhash(p[1])).count("1") > residue.HAMMING]
+    far = [p for p in wanted if bin(residue.simhash(residue.gram_hashes(p[0])) ^ residue.simhash(residue.gram_hashes(p[1]))).count("1") > residue.HAMMING]
     assert far and {tuple(r) for r in residue.near_links(frame(spark, [(c,) for c in cores], "core string")).collect()} == wanted
 
 
