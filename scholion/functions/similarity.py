@@ -63,11 +63,24 @@ def surnames(author: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda n: F.length(n) > 1))
 
 
-def identity_confidence(doi_equal: Column, title_overlap: Column, author_found: Column, year_equal: Column) -> Column:
-    """high, medium or low that a retrieved work is the expected one; an equal DOI settles it."""
-    points = F.when(title_overlap >= 0.6, 2).when(title_overlap >= 0.3, 1).otherwise(0) + author_found.cast("int") + year_equal.cast("int")
-    ratio = points / F.lit(4.0)
-    return F.when(doi_equal, "high").when(ratio >= 0.7, "high").when(ratio >= 0.4, "medium").otherwise("low")
+def identity_confidence(doi: tuple[Column, Column], title: tuple[Column, Column], author: tuple[Column, Column], year: tuple[Column, Column]) -> Column:
+    """high, medium or low that a found work is the expected one, from (expected, found) of each field; an equal DOI settles it.
+
+    A field that both sides have counts: three points for a DOI that the expected side has, two for
+    the title, one each for the author (expected surname inside any found name) and the year.
+    """
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    same_doi = given(doi[0]) & F.coalesce(F.lower(doi[0]) == F.lower(doi[1]), F.lit(False))
+    with_title, with_year = given(title[0]) & given(title[1]), given(year[0]) & given(year[1])
+    with_author = given(author[0]) & (F.coalesce(F.size(author[1]), F.lit(0)) > 0)
+    overlap = contained(check_tokens(title[0]), check_tokens(title[1]))
+    surname = F.lower(F.trim(F.substring_index(author[0], ",", 1)))
+    named = (surname != "") & F.exists(author[1], lambda a: F.instr(F.lower(a), surname) > 0)
+    agree = (F.instr(year[1], year[0]) > 0) | (F.instr(year[0], year[1]) > 0)
+    points = F.when(with_title & (overlap >= 0.6), 2).when(with_title & (overlap >= 0.3), 1).otherwise(0) + (with_author & F.coalesce(named, F.lit(False))).cast("int") + (with_year & F.coalesce(agree, F.lit(False))).cast("int")
+    most = given(doi[0]).cast("int") * 3 + with_title.cast("int") * 2 + with_author.cast("int") + with_year.cast("int")
+    ratio = points / F.nullif(most, F.lit(0))
+    return F.when(same_doi, "high").when(ratio >= 0.7, "high").when(ratio >= 0.4, "medium").otherwise("low")
 
 
 @F.pandas_udf(DoubleType())
@@ -80,3 +93,13 @@ def best_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return max(difflib.SequenceMatcher(None, p, q).ratio() for p in x for q in y)
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+
+#: The least ratio of two surnames that count as the same.
+SAME_NAME = 0.7
+
+
+def relevant(cited_title: Column, found_title: Column, cited_names: Column, found_names: Column) -> Column:
+    """Whether a found work is the cited one: its title covers the cited title's words, and a surname is alike where both have any."""
+    q = coverage(cited_title, found_title)
+    return (q >= coverage_threshold(cited_title) - 1e-9) & (best_ratio(cited_names, found_names) >= SAME_NAME)

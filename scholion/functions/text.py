@@ -28,14 +28,17 @@ def normalize_text(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Extracted text tidied: invisible characters out, hyphenation and soft line ends undone, blanks and blank lines collapsed."""
-    c = F.translate(c, "​‌‍﻿­⁠", "")
+    """Extracted text tidied: invisible characters out, hyphenation and line ends inside sentences undone, blanks and blank lines collapsed.
+
+    A line end goes where small letters stand on both sides, whatever blanks lie between; others stay.
+    """
+    c = F.translate(c, "\u200b\u200c\u200d\ufeff\u00ad\u2060", "")
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[ \t]{2,}", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, r"-\n([a-z])", "$1")
-    c = F.regexp_replace(c, r"([a-z,]) ?\n ?([a-z])", "$1 $2")
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    c = F.regexp_replace(c, r"-\n(?=\s*[a-z])", "")
+    c = F.regexp_replace(c, r"(?<=[a-z])\s*\n\s*(?=[a-z])", " ")
+    return F.regexp_replace(c, r"[ \t]{2,}", " ")
 
 
 def normalize_doi(c: Column) -> Column:

@@ -16,43 +16,59 @@ def latest(df: DataFrame, key: str, at: str, fields: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(at, *fields)).alias("_r")).select(key, "_r.*")
 
 
-def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar vectors of every `every`-th one, against all rows.
 
-    The queries are split in blocks that are sent to all rows, which keep their own k best first;
-    the exchange then carries k rows per query and partition.
+    Rows and queries are packed into blocks by the executors; each block of rows meets each block of
+    queries as one matrix product and keeps k rows a query, so nothing passes through the driver.
     """
     import numpy as np
     import pyarrow as pa
 
-    block, out = 4096, None
-    queries = vectors.where(F.col(id_col) % every == 0).select(id_col, vec_col)
-    ids = [r[0] for r in queries.select(id_col).orderBy(id_col).collect()]
-    for lo in range(0, max(1, len(ids)), block):
-        part = ids[lo : lo + block]
-        if not part:
-            break
-        rows = queries.where(F.col(id_col).between(part[0], part[-1])).collect()
-        q_ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-        def search(batches, q_ids=q_ids, q=q):
-            for batch in batches:
-                own = np.asarray(batch.column(0), dtype=np.int64)
-                m = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(own):
-                    continue
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    def packed(batches):
+        ids, parts, held = [], [], 0
+        for batch in batches:
+            live = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
+            if not live.num_rows:
+                continue
+            m = np.array(live.column(1).to_pylist(), np.float64)
+            ids.append(np.asarray(live.column(0), dtype=np.int64))
+            parts.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
+            held += len(m)
+            if held >= block:
+                yield one(ids, parts)
+                ids, parts, held = [], [], 0
+        if held:
+            yield one(ids, parts)
+
+    def one(ids, parts):
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["ids", "m"])
+
+    def search(batches):
+        for batch in batches:
+            out = [[np.empty(0, t)] for t in (np.int64, np.int64, np.float64)]
+            for q_ids, q, own, m in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q", "ids", "m"))):
+                q_ids, own = np.frombuffer(q_ids, np.int64), np.frombuffer(own, np.int64)
+                q, m = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((q, q_ids), (m, own)))
                 s = q @ m.T
                 s[q_ids[:, None] == own[None, :]] = -2
                 n = min(k + 1, len(own))
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "similarity"])
+                for o, x in zip(out, (np.repeat(q_ids, n), own[best].ravel(), np.take_along_axis(s, best, 1).ravel())):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "similarity"])
+
+    import pyarrow.compute  # noqa: F401
 
-        found = vectors.select(id_col, vec_col).mapInArrow(search, "query_id bigint, id bigint, similarity double").where("similarity > -1.5")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    rows = vectors.select(id_col, vec_col)
+    asked = rows.where(F.col(id_col) % every == 0).mapInArrow(packed, "ids binary, m binary").withColumnsRenamed({"ids": "q_ids", "m": "q"}).withColumn("b", F.monotonically_increasing_id())
+    n = asked.count()
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
+    # A block of rows goes to every block of queries: a stated set of queries against all rows.
+    order = Window.orderBy("b")
+    blocks = asked.select("q_ids", "q", (F.row_number().over(order) - 1).alias("at"))
+    met = rows.mapInArrow(packed, "ids binary, m binary").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "at")
+    found = met.select("q_ids", "q", "ids", "m").mapInArrow(search, "query_id bigint, id bigint, similarity double").where("similarity > -1.5")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 6))

@@ -51,8 +51,19 @@ def repeated_citations(citations: DataFrame, above: float = 0.9) -> DataFrame:
 
 
 def cached_works(refs: DataFrame, cache: DataFrame) -> DataFrame:
-    """(ref_id, work_id, via): the cached work under a reference's DOI, else under its title hash."""
-    d = cache.select(T.normalize_doi(F.col("doi")).alias("k"), "work_id").where("k <> ''").groupBy("k").agg(F.min("work_id").alias("by_doi"))
-    t = cache.select(T.title_hash(F.col("title")).alias("h"), "work_id").groupBy("h").agg(F.min("work_id").alias("by_title"))
-    keyed = refs.select("ref_id", T.normalize_doi(F.col("doi")).alias("k"), T.title_hash(F.col("title")).alias("h"))
-    return keyed.join(d, "k", "left").join(t, "h", "left").select("ref_id", F.coalesce("by_doi", "by_title").alias("work_id"), F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_title").isNotNull(), "title").otherwise("miss").alias("via"))
+    """(ref_id, work_id, via): the cached work under a reference's DOI, else under its title hash.
+
+    Missing DOIs and blank titles are no keys: they are null, so the rows without one meet in no task.
+    """
+    doi, title = F.nullif(T.normalize_doi(F.col("doi")), F.lit("")).alias("k"), F.when(T.normalize_title(F.col("title")) != "", T.title_hash(F.col("title"))).alias("h")
+    d = cache.select(doi, "work_id").where("k IS NOT NULL").groupBy("k").agg(F.min("work_id").alias("by_doi"))
+    t = cache.select(title, "work_id").where("h IS NOT NULL").groupBy("h").agg(F.min("work_id").alias("by_title"))
+    keyed = refs.select("ref_id", doi, title)
+    found = _left(_left(keyed, d, "k"), t, "h")
+    return found.select("ref_id", F.coalesce("by_doi", "by_title").alias("work_id"), F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_title").isNotNull(), "title").otherwise("miss").alias("via"))
+
+
+def _left(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """A left join whose rows without a key are not shuffled to one place."""
+    added = [F.lit(None).cast(kind).alias(c) for c, kind in other.dtypes if c != key]
+    return rows.where(F.col(key).isNotNull()).join(other, key, "left").unionByName(rows.where(F.col(key).isNull()).select("*", *added))

@@ -33,8 +33,8 @@ def dense_starts(docs: DataFrame, starts: Column, within: int, least: int, id_co
 
 
 def reference_format(raw: Column) -> Column:
-    """mla where a quoted title is followed by volume or page marks, apa where a year stands in brackets, else unknown."""
-    return F.when(raw.rlike(r"\x{201C}.+\x{201D}.*(vol\.|pp?\.)"), "mla").when(raw.rlike(r"\((\d{4}[a-z]?|n\.d\.)\)"), "apa").otherwise("unknown")
+    """mla where a quoted title is followed by volume or page marks, else apa, which is the default."""
+    return F.when(raw.rlike(r"\x{201C}.+\x{201D}.*(vol\.|pp?\.)"), "mla").otherwise("apa")
 
 
 def identifiers(raw: Column) -> tuple[Column, Column]:
@@ -44,19 +44,47 @@ def identifiers(raw: Column) -> tuple[Column, Column]:
 
 
 def apa_fields(raw: Column) -> dict[str, Column]:
-    """author, year, title of `Author (year). Title. Source`; '' where a field is missing."""
-    part = lambda n: F.coalesce(F.regexp_extract(raw, r"^(.*?)\s*\((\d{4}[a-z]?|n\.d\.)\)\.\s*(.*?)(?:\.\s+\p{Lu}.*)?$", n), F.lit(""))
-    return {"author": T.squeeze(part(1)), "year": part(2), "title": T.squeeze(part(3))}
+    """author, year, title, doi, url, method and needs_review of `Author (year). Title. Source`.
+
+    Without a year in brackets the first year anywhere counts, but tells no title. The title ends at
+    a full stop before a capital, or at an address, and before `, 12(`. Without an author or a title
+    the fields are '' and the record needs review; a missing year is n.d.
+    """
+    raw = F.trim(F.coalesce(raw, F.lit("")))
+    head = r"^(.*?)(\((?:(?:19|20)\d{2}[a-z]?|n\.d\.)\))(.*)$"
+    marked = raw.rlike(rf"(?is){head}")
+    bare = F.regexp_extract(raw, r"(?s)^(.*?)\b((?:19|20)\d{2})\b", 2)
+    year = F.when(marked, F.coalesce(F.nullif(F.regexp_extract(F.regexp_extract(raw, rf"(?is){head}", 2), r"(\d{4})", 1), F.lit("")), F.lit("n.d."))).otherwise(bare)
+    before = F.when(marked, F.regexp_extract(raw, rf"(?is){head}", 1)).otherwise(F.regexp_extract(raw, r"(?s)^(.*?)\b((?:19|20)\d{2})\b", 1))
+    author = F.regexp_replace(F.regexp_replace(F.trim(before), r"[,.;:]+$", ""), r"^\d+[.)]\s*", "")
+    after = F.regexp_replace(F.regexp_extract(raw, rf"(?is){head}", 3), r"^[\s.)]+", "")
+    ends = F.regexp_extract(after, r"(?s)^(.+?)\.\s+[A-Z]", 1)
+    rest = F.regexp_replace(F.trim(F.regexp_replace(after, r"(?s)\s+(?:https?://|doi:).*$", "")), r"\.+$", "")
+    title = F.trim(F.regexp_replace(F.when(ends != "", ends).otherwise(rest), r"(?s)\s*,\s*\d+\(.*$", ""))
+    return _checked(raw, author, year, F.when(marked, title).otherwise(F.lit("")))
 
 
 def mla_fields(raw: Column) -> dict[str, Column]:
-    """author, last year and quoted title of `Author. “Title.” Source, year`."""
+    """The same fields of `Author. “Title.” Source, year`: the last year, the quoted title, else the text up to the next full stop."""
+    raw = F.trim(F.coalesce(raw, F.lit("")))
+    bare = F.regexp_replace(raw, r"^\d+[.)]\s*", "")
     years = F.regexp_extract_all(raw, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
-    return {
-        "author": T.squeeze(F.regexp_replace(F.regexp_extract(raw, r"^([^\x{201C}]*)\x{201C}", 1), r"\.\s*$", "")),
-        "year": F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit("")),
-        "title": T.squeeze(F.regexp_extract(raw, r"\x{201C}(.*)\x{201D}", 1)),
-    }
+    ends = F.regexp_extract(bare, r"^(.{2,200}?)\.\s+[A-Z\x{201C}\"]", 1)
+    author = F.trim(F.when(ends != "", ends).otherwise(F.regexp_extract(bare, r"(?s)^(.+?)\. ", 1)))
+    quoted = F.trim(F.regexp_extract(bare, r"(?s)(?:\x{201C}([^\"]+?)\x{201D}|\"[^\"]+?\")", 1))
+    straight = F.trim(F.regexp_extract(bare, r"(?s)\"([^\"]+?)\"", 1))
+    after = F.regexp_replace(F.substr(bare, F.char_length(author) + 1), r"^[. ]+", "")
+    next_stop = F.regexp_extract(after, r"(?s)^(.+?)\.\s+(?:[A-Z\d]|https?://)", 1)
+    plain = F.trim(F.when(next_stop != "", next_stop).otherwise(F.substring_index(after, ".", 1)))
+    title = F.when(quoted != "", quoted).when(straight != "", straight).when(author != "", plain).otherwise(F.lit(""))
+    return _checked(raw, author, F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit("")), title)
+
+
+def _checked(raw: Column, author: Column, year: Column, title: Column) -> dict[str, Column]:
+    ok = (author != "") & (title != "")
+    doi, url = identifiers(raw)
+    kept = lambda c: F.when(ok, c).otherwise(F.lit(""))
+    return {"author": kept(author), "year": F.when(ok, F.coalesce(F.nullif(year, F.lit("")), F.lit("n.d."))).otherwise(F.lit("")), "title": kept(title), "doi": doi, "url": url, "method": F.when(ok, "regex").otherwise("fallback"), "needs_review": ~ok}
 
 
 def labelled_fields(response: Column, labels: tuple[str, ...]) -> dict[str, Column]:

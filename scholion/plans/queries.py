@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions import responses as R
 from scholion.functions import similarity as S
+from scholion.functions import sources as P
 from scholion.functions import text as T
 from scholion.operators import choose, link, parse
 from scholion.plans import sql
@@ -25,12 +26,12 @@ def _query(f: Query) -> Query:
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
-    """References without redeliveries."""
-    return table(spark, d, "parsed_refs").select("ref_id", "doc_id", "ref_idx", "author", "year", "title", "doi", "url", "raw_ref", "citation_key").distinct()
+    """References without redeliveries: one row per id, so columns that a query leaves alone are pruned below the aggregate."""
+    return table(spark, d, "parsed_refs").select("ref_id", "doc_id", "ref_idx", "author", "year", "title", "doi", "url", "raw_ref", "citation_key").dropDuplicates(["ref_id"])
 
 
 def _cits(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "citations").select("cit_id", "doc_id", "paragraph_index", "seq", "text", "claim_type", "citation_key", "citation_marker", "marker_type", "confidence", "drop_reason").distinct()
+    return table(spark, d, "citations").select("cit_id", "doc_id", "paragraph_index", "seq", "text", "claim_type", "citation_key", "citation_marker", "marker_type", "confidence", "drop_reason").dropDuplicates(["cit_id"])
 
 
 def _works(spark: SparkSession, d: str) -> DataFrame:
@@ -248,11 +249,26 @@ def title_coverage(spark, d):
     return _doi_pairs(spark, d).select("ref_id", "work_id", F.round(S.coverage(q, m), 6).alias("coverage"), (S.coverage(q, m) >= S.coverage_threshold(q) - 1e-9).alias("relevant"))
 
 
+def _title_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """References and records under one title key, with both sides' fields."""
+    refs = _refs(spark, d).withColumn("h", T.normalize_title(F.col("title"))).where("h <> ''")
+    works = choose.latest(table(spark, d, "catalog_works"), "work_id", "retrieved_at", ["title", "year", "doi", "authors"])
+    works = works.select("work_id", F.col("title").alias("work_title"), F.col("year").alias("work_year"), F.col("doi").alias("work_doi"), "authors", T.normalize_title(F.col("title")).alias("h"))
+    return refs.join(works, "h")
+
+
 @_query
 def identity_score(spark, d):
-    overlap = S.contained(S.check_tokens(F.col("title")), S.check_tokens(F.col("work_title")))
-    same_year = F.coalesce(F.col("year") == F.col("work_year"), F.lit(False))
-    return _doi_pairs(spark, d).select("ref_id", "work_id", S.identity_confidence(F.lit(False), overlap, F.lit(True), same_year).alias("confidence"))
+    confidence = S.identity_confidence(*[(F.col(a), F.col(b)) for a, b in (("doi", "work_doi"), ("title", "work_title"), ("author", "authors"), ("year", "work_year"))])
+    return _title_pairs(spark, d).select("ref_id", "work_id", confidence.alias("confidence"))
+
+
+@_query
+def author_relevance(spark, d):
+    """Whether records under a reference's title or DOI are the cited work: title and author both (sequence matching has no SQL form)."""
+    pairs = _title_pairs(spark, d).select("ref_id", "work_id", "title", "work_title", "author", "authors")
+    names = F.array_distinct(F.flatten(F.transform(F.coalesce("authors", F.array()), lambda a: S.surnames(F.coalesce(a, F.lit(""))))))
+    return pairs.select("ref_id", "work_id", S.relevant(F.col("title"), F.col("work_title"), S.surnames(F.coalesce("author", F.lit(""))), names).alias("relevant"))
 
 
 @_query
@@ -294,7 +310,7 @@ def link_category_counts(spark, d):
 def link_classify(spark, d):
     """The outcome of a check from its status code and titles alone."""
     code, cited, page = F.col("status_code"), F.col("cited_title"), T.strip_markup(F.col("page_title"))
-    match = S.page_title_matches(cited, page)
+    match = P.title_words_match(cited, page)
     return _checks(spark, d).select(
         "check_id",
         F.when(F.coalesce(F.col("url"), F.lit("")) == "", "dead").when(code.isin(401, 403, 451), "paywall").when(code.isin(404, 410), "dead").when(code >= 500, "server_error").when(code.between(300, 399), "redirect")
@@ -304,10 +320,7 @@ def link_classify(spark, d):
 
 @_query
 def source_type_route(spark, d):
-    raw = F.coalesce("raw_ref", F.lit(""))
-    media = raw.rlike(r"(?i)\[(film|album|song|podcast|video|tv series|painting|photograph)[^\]]*\]|\b(directed by|director|performed by|hosted by)\b")
-    archive = raw.rlike(r"(?i)\b(archives?|manuscript|unpublished|box \d+|folder \d+|special collections?)\b")
-    return _refs(spark, d).select("ref_id", F.when(media, "media").when(archive, "archive").otherwise("scholarly").alias("route"))
+    return _refs(spark, d).select("ref_id", P.route(F.col("raw_ref")).alias("route"))
 
 
 @_query
@@ -348,8 +361,11 @@ def catalog_delete(spark, d):
 
 @_query
 def missing_identifiers(spark, d):
-    bucket = F.when(T.normalize_doi(F.coalesce("doi", F.lit(""))) != "", "doi").when((F.coalesce("url", F.lit("")) != "") | F.coalesce(F.col("raw_ref"), F.lit("")).rlike("https?://|www\\."), "url").otherwise("should_have")
-    return _refs(spark, d).groupBy("doc_id").agg(*[F.count_if(bucket == b).alias(b) for b in ("doi", "url", "should_have")])
+    """Per paper: references with a DOI, with a URL, and those with neither by what kind of source they name."""
+    raw = F.coalesce("raw_ref", F.lit(""))
+    url = (F.trim(F.coalesce("url", F.lit(""))) != "") | raw.rlike("(?i)https?://|www\\.")
+    bucket = F.when(F.trim(F.coalesce("doi", F.lit(""))) != "", "with_doi").when(url, "with_url").when(P.is_media(raw), "missing_media").when(P.is_archive(raw), "missing_archive").otherwise("should_have")
+    return _refs(spark, d).groupBy("doc_id").agg(F.count("*").alias("total"), *[F.count_if(bucket == b).alias(b) for b in ("with_doi", "with_url", "missing_media", "missing_archive", "should_have")])
 
 
 @_query

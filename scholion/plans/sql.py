@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scholion.functions.similarity import STOPWORDS
+from scholion.functions.sources import ARCHIVE_MARKS, MEDIA_CREDITS, MEDIA_KINDS
 from scholion.functions.text import ABBREVIATIONS
 
 _REFS = "SELECT DISTINCT ref_id, doc_id, ref_idx, author, year, title, doi, url, raw_ref, citation_key FROM parsed_refs"
@@ -48,11 +49,11 @@ _MARKED = rf"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_repla
 _SENTENCES = rf"""SELECT doc_id, para_idx, unnest(range(len(s))) AS sent_idx, unnest(s) AS sentence FROM (
   SELECT doc_id, para_idx, list_filter(list_transform(string_split({_MARKED}, chr(3)), lambda x: regexp_replace(replace(replace(x, chr(1), '.'), chr(2), '...'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM ({_PARAS}))"""
 _LINES = r"SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
-_FORMAT = r"CASE WHEN regexp_matches(coalesce(raw_ref, ''), '\x{201C}.+\x{201D}.*(vol\.|pp?\.)') THEN 'mla' WHEN regexp_matches(coalesce(raw_ref, ''), '\((\d{4}[a-z]?|n\.d\.)\)') THEN 'apa' ELSE 'unknown' END"
+_FORMAT = r"CASE WHEN regexp_matches(coalesce(raw_ref, ''), '\x{201C}.+\x{201D}.*(vol\.|pp?\.)') THEN 'mla' ELSE 'apa' END"
 _APA = r"^(.*?)\s*\((\d{4}[a-z]?|n\.d\.)\)\.\s*(.*?)(?:\.\s+\p{Lu}.*)?$"
 _VIA = f"""keyed AS (SELECT ref_id, {_doi('doi')} AS k, sha256({_title('title')}) AS h FROM refs),
   d AS (SELECT {_doi('doi')} AS k, min(work_id) AS by_doi FROM works WHERE {_doi('doi')} <> '' GROUP BY 1),
-  t AS (SELECT sha256({_title('title')}) AS h, min(work_id) AS by_title FROM works GROUP BY 1),
+  t AS (SELECT sha256({_title('title')}) AS h, min(work_id) AS by_title FROM works WHERE {_title('title')} <> '' GROUP BY 1),
   via AS (SELECT ref_id, coalesce(by_doi, by_title) AS work_id, CASE WHEN by_doi IS NOT NULL THEN 'doi' WHEN by_title IS NOT NULL THEN 'title' ELSE 'miss' END AS via FROM keyed LEFT JOIN d USING (k) LEFT JOIN t USING (h))"""
 _PAIRS = f"pairs AS (SELECT r.*, w.work_id, w.title AS work_title, w.year AS work_year FROM refs r JOIN works w ON {_doi('r.doi')} = {_doi('w.doi')} AND {_doi('r.doi')} <> '')"
 _SURNAMES = r"""sur AS (SELECT doc_id, ref_id, ref_idx, year, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(author, '\s*;\s*|\s*,?\s*&\s*|,?\s+and\s+'),
@@ -63,9 +64,25 @@ def _overlap(a: str, b: str) -> str:
     return f"len(list_intersect({a}, {b})) / nullif(len({a}), 0)"
 
 
+
+# No look-around here: a letter that is used up by one match is seen again in a second pass.
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(173) || chr(8288), ''), '\r\n?', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_PASS = r"regexp_replace({0}, '([a-z])\s*\n\s*([a-z])', '\1 \2', 'g')"
+_HYPHENLESS = rf"regexp_replace({_TIDY}, '-\n(\s*[a-z])', '\1', 'g')"
+_CLEAN = rf"regexp_replace({_PASS.format(_PASS.format(_HYPHENLESS))}, '[ \t]{{2,}}', ' ', 'g')"
+_MEDIA = rf"(regexp_matches(raw, '(?i)\[({MEDIA_KINDS})\]') OR regexp_matches(raw, '(?i)\b({MEDIA_CREDITS})\b'))"
+_ARCHIVE = rf"regexp_matches(raw, '(?i)\b({ARCHIVE_MARKS})\b')"
+_WORDS3 = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{3,}}'))"
+_LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY retrieved_at DESC, title DESC, year DESC, doi DESC, authors DESC) AS rn FROM catalog_works) WHERE rn = 1)"
+_TITLED = f"titled AS (SELECT r.*, w.work_id, w.title AS work_title, w.year AS work_year, w.doi AS work_doi, w.authors FROM refs r JOIN latest w ON {_title('r.title')} = {_title('w.title')} AND {_title('r.title')} <> '')"
+
+_CHECKED_IDS = r"""regexp_replace(coalesce(regexp_extract(raw, '(10\.\d{4,9}/[^\s"<>]+)', 1), ''), '[.,;)\]>]+$', '') AS doi, regexp_replace(coalesce(regexp_extract(raw, '(https?://[^\s"<>]+)', 1), ''), '[.,;)\]>]+$', '') AS any_url"""
+_CHECKED = """SELECT ref_id, CASE WHEN ok THEN author ELSE '' END AS author, CASE WHEN NOT ok THEN '' WHEN year = '' THEN 'n.d.' ELSE year END AS year, CASE WHEN ok THEN title ELSE '' END AS title, doi,
+        CASE WHEN doi <> '' THEN '' ELSE any_url END AS url, CASE WHEN ok THEN 'regex' ELSE 'fallback' END AS method, NOT ok AS needs_review FROM (SELECT *, author <> '' AND title <> '' AS ok FROM c)"""
+
+
 SQL: dict[str, str] = {
-    "clean_text": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(173) || chr(8288), ''), '\r\n?', chr(10), 'g'),
-      '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '-\n([a-z])', '\1', 'g'), '([a-z,]) ?\n ?([a-z])', '\1 \2', 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents""",
+    "clean_text": f"SELECT doc_id, {_CLEAN} AS body FROM documents",
     "doi_normalize": f"{_WITH} SELECT ref_id, coalesce({_doi('doi')}, '') AS doi FROM refs",
     "title_hash_key": f"{_WITH} SELECT ref_id, sha256({_title('title')}) AS title_hash FROM refs",
     "cache_keys": f"{_WITH} SELECT ref_id, concat_ws('|', CASE WHEN coalesce({_doi('doi')}, '') <> '' THEN 'by-doi/' || {_doi('doi')} END, CASE WHEN coalesce(title, '') <> '' THEN 'by-title-hash/' || substr(sha256({_title('title')}), 1, 12) END) AS keys FROM refs",
@@ -89,9 +106,20 @@ SQL: dict[str, str] = {
       w AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS near, count(*) OVER (PARTITION BY doc_id) AS n FROM l)
       SELECT doc_id, CAST(min(line_no) AS INT) AS first_line FROM w WHERE starts = 1 AND near >= 2 AND line_no >= floor(n * 0.3) GROUP BY doc_id""",
     "reference_format_detect": f"{_WITH} SELECT {_FORMAT} AS format, count(*) AS n FROM refs GROUP BY 1",
-    "apa_fields": rf"{_WITH} SELECT ref_id, {_squeeze(f'''coalesce(regexp_extract(raw_ref, '{_APA}', 1), '')''')} AS author, coalesce(regexp_extract(raw_ref, '{_APA}', 2), '') AS year, {_squeeze(f'''coalesce(regexp_extract(raw_ref, '{_APA}', 3), '')''')} AS title FROM refs WHERE {_FORMAT} = 'apa'",
-    "mla_fields": rf"""{_WITH} SELECT ref_id, {_squeeze(r"regexp_replace(regexp_extract(raw_ref, '^([^\x{201C}]*)\x{201C}', 1), '\.\s*$', '')")} AS author, coalesce(list_extract(regexp_extract_all(raw_ref, '\b((?:19|20)\d{{2}})\b', 1), -1), '') AS year,
-      {_squeeze(r"regexp_extract(raw_ref, '\x{201C}(.*)\x{201D}', 1)")} AS title FROM refs WHERE {_FORMAT} = 'mla'""",
+    "apa_fields": rf"""{_WITH}, r AS (SELECT ref_id, trim(coalesce(raw_ref, '')) AS raw FROM refs WHERE {_FORMAT} = 'apa'),
+      g AS (SELECT *, regexp_extract(raw, '(?is)^(.*?)(\((?:(?:19|20)\d{{2}}[a-z]?|n\.d\.)\))(.*)$', ['a', 'y', 'z']) AS m, regexp_extract(raw, '(?s)^(.*?)\b((?:19|20)\d{{2}})\b', ['a', 'y']) AS b FROM r),
+      h AS (SELECT *, m.y <> '' AS marked, regexp_replace(m.z, '^[\s.)]+', '') AS rest FROM g),
+      f AS (SELECT ref_id, raw, marked, regexp_replace(regexp_replace(trim(CASE WHEN marked THEN m.a ELSE b.a END), '[,.;:]+$', ''), '^\d+[.)]\s*', '') AS author,
+        CASE WHEN marked THEN coalesce(nullif(regexp_extract(m.y, '(\d{{4}})', 1), ''), 'n.d.') ELSE b.y END AS year,
+        trim(regexp_replace(CASE WHEN regexp_extract(rest, '(?s)^(.+?)\.\s+[A-Z]', 1) <> '' THEN regexp_extract(rest, '(?s)^(.+?)\.\s+[A-Z]', 1) ELSE regexp_replace(trim(regexp_replace(rest, '(?s)\s+(?:https?://|doi:).*$', '')), '\.+$', '') END, '(?s)\s*,\s*\d+\(.*$', '')) AS t FROM h),
+      c AS (SELECT *, CASE WHEN marked THEN t ELSE '' END AS title, {_CHECKED_IDS} FROM f)
+      {_CHECKED}""",
+    "mla_fields": rf"""{_WITH}, r AS (SELECT ref_id, trim(coalesce(raw_ref, '')) AS raw, regexp_replace(trim(coalesce(raw_ref, '')), '^\d+[.)]\s*', '') AS bare FROM refs WHERE {_FORMAT} = 'mla'),
+      a AS (SELECT *, trim(CASE WHEN regexp_extract(bare, '^(.{{2,200}}?)\.\s+[A-Z\x{{201C}}"]', 1) <> '' THEN regexp_extract(bare, '^(.{{2,200}}?)\.\s+[A-Z\x{{201C}}"]', 1) ELSE regexp_extract(bare, '(?s)^(.+?)\. ', 1) END) AS author,
+        coalesce(list_extract(regexp_extract_all(raw, '\b((?:19|20)\d{{2}})\b', 1), -1), '') AS year, trim(regexp_extract(bare, '(?s)\x{{201C}}([^"]+?)\x{{201D}}', 1)) AS q, trim(regexp_extract(bare, '(?s)"([^"]+?)"', 1)) AS s FROM r),
+      f AS (SELECT *, regexp_replace(substr(bare, length(author) + 1), '^[. ]+', '') AS rest FROM a),
+      c AS (SELECT *, CASE WHEN q <> '' THEN q WHEN s <> '' THEN s WHEN author = '' THEN '' ELSE trim(CASE WHEN regexp_extract(rest, '(?s)^(.+?)\.\s+(?:[A-Z\d]|https?://)', 1) <> '' THEN regexp_extract(rest, '(?s)^(.+?)\.\s+(?:[A-Z\d]|https?://)', 1) ELSE split_part(rest, '.', 1) END) END AS title, {_CHECKED_IDS} FROM f)
+      {_CHECKED}""",
     "labelled_fields": f"""{_WITH} SELECT ref_id, {', '.join(f"CASE WHEN lower(trim({c})) IN ('none', 'n/a', 'null') OR {c} IS NULL THEN '' ELSE trim({c}) END AS {c}" for c in ('author', 'year', 'title'))} FROM refs""",
     "cite_tag_parse": f"{_WITH} SELECT cit_id, citation_key AS key, length(text) AS body_chars FROM cits WHERE text IS NOT NULL AND citation_key IS NOT NULL",
     "chapter_ranges": r"""WITH r AS (SELECT DISTINCT book_id, pos, title, start_page, logical_pages FROM toc_entries WHERE toc_level = 1 AND start_page > 0 AND regexp_matches(title, '^\d{1,3}[.)]?\s'))
@@ -114,24 +142,26 @@ SQL: dict[str, str] = {
     "page_title_match": f"{_WITH} SELECT check_id, CASE WHEN len({_tokens('cited_title')}) = 0 THEN true ELSE {_overlap(_tokens('cited_title'), _tokens(_markup('page_title')))} >= 0.5 END AS matches FROM checks WHERE page_title IS NOT NULL AND cited_title IS NOT NULL",
     "title_coverage": f"""{_WITH}, {_PAIRS}, s AS (SELECT ref_id, work_id, {_significant('title')} AS q, {_significant('work_title')} AS m FROM pairs), c AS (SELECT *, coalesce({_overlap('q', 'm')}, 1) AS c, len(q) AS n FROM s)
       SELECT ref_id, work_id, round(c, 6) AS coverage, c >= (CASE WHEN n <= 2 THEN 1 WHEN n <= 4 THEN (n - 1) / n ELSE greatest(0.6, (n - 2) / n) END) - 1e-9 AS relevant FROM c""",
-    "identity_score": f"""{_WITH}, {_PAIRS}, s AS (SELECT ref_id, work_id, coalesce({_overlap(_tokens('title'), _tokens('work_title'))}, 0) AS o, coalesce(year = work_year, false) AS y FROM pairs),
-      p AS (SELECT *, ((CASE WHEN o >= 0.6 THEN 2 WHEN o >= 0.3 THEN 1 ELSE 0 END) + 1 + CAST(y AS INT)) / 4.0 AS r FROM s) SELECT ref_id, work_id, CASE WHEN r >= 0.7 THEN 'high' WHEN r >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM p""",
+    "identity_score": f"""{_WITH}, {_LATEST}, {_TITLED}, e AS (SELECT *, coalesce(doi, '') <> '' AS has_doi, coalesce(author, '') <> '' AND coalesce(len(authors), 0) > 0 AS has_author, coalesce(year, '') <> '' AND coalesce(work_year, '') <> '' AS has_year,
+        coalesce({_overlap(_tokens('title'), _tokens('work_title'))}, 0) AS o, lower(trim(split_part(author, ',', 1))) AS surname FROM titled),
+      p AS (SELECT *, (CASE WHEN o >= 0.6 THEN 2 WHEN o >= 0.3 THEN 1 ELSE 0 END) + CAST(has_author AND coalesce(surname <> '' AND len(list_filter(authors, lambda a: contains(lower(a), surname))) > 0, false) AS INT)
+        + CAST(has_year AND coalesce(contains(work_year, year) OR contains(year, work_year), false) AS INT) AS pts, 3 * CAST(has_doi AS INT) + 2 + CAST(has_author AS INT) + CAST(has_year AS INT) AS most FROM e)
+      SELECT ref_id, work_id, CASE WHEN has_doi AND coalesce(lower(doi) = lower(work_doi), false) THEN 'high' WHEN pts / most >= 0.7 THEN 'high' WHEN pts / most >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM p""",
     "dedup_exact": f"SELECT min(doc_id) AS kept_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(lower({_squeeze('text')}))",
     "page_number_pairs": "WITH p AS (SELECT DISTINCT book_id, start_page FROM toc_entries WHERE start_page > 0) SELECT book_id, bool_or(EXISTS (SELECT 1 FROM p q WHERE q.book_id = p.book_id AND q.start_page = p.start_page + 1)) AS has_pair FROM p GROUP BY book_id",
     "first_live_check": f"{_WITH} SELECT ref_id, check_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY priority, checked_at NULLS FIRST, check_id) AS rn FROM (SELECT *, CASE WHEN category IN ('content_match', 'ok') THEN 1 WHEN category = 'redirect' THEN 2 WHEN category = 'paywall' THEN 3 ELSE 9 END AS priority FROM checks)) WHERE rn = 1",
     "link_category_counts": f"{_WITH} SELECT category, count(*) AS n, count(DISTINCT ref_id) AS n_refs FROM checks GROUP BY category",
     "link_classify": f"""{_WITH} SELECT check_id, CASE WHEN coalesce(url, '') = '' THEN 'dead' WHEN status_code IN (401, 403, 451) THEN 'paywall' WHEN status_code IN (404, 410) THEN 'dead' WHEN status_code >= 500 THEN 'server_error' WHEN status_code BETWEEN 300 AND 399 THEN 'redirect'
-      WHEN status_code = 200 AND cited_title IS NOT NULL AND coalesce({_markup('page_title')}, '') <> '' THEN CASE WHEN len({_tokens('cited_title')}) = 0 OR {_overlap(_tokens('cited_title'), _tokens(_markup('page_title')))} >= 0.5 THEN 'content_match' ELSE 'content_mismatch' END
+      WHEN status_code = 200 AND cited_title IS NOT NULL AND coalesce({_markup('page_title')}, '') <> '' THEN CASE WHEN len(list_intersect({_WORDS3.format('cited_title')}, {_WORDS3.format(_markup('page_title'))})) >= 0.5 * len({_WORDS3.format('cited_title')}) AND len({_WORDS3.format('cited_title')}) > 0 THEN 'content_match' ELSE 'content_mismatch' END
       WHEN status_code BETWEEN 200 AND 299 THEN 'ok' ELSE 'unknown' END AS outcome FROM checks""",
-    "source_type_route": rf"""{_WITH} SELECT ref_id, CASE WHEN regexp_matches(coalesce(raw_ref, ''), '(?i)\[(film|album|song|podcast|video|tv series|painting|photograph)[^\]]*\]|\b(directed by|director|performed by|hosted by)\b') THEN 'media'
-      WHEN regexp_matches(coalesce(raw_ref, ''), '(?i)\b(archives?|manuscript|unpublished|box \d+|folder \d+|special collections?)\b') THEN 'archive' ELSE 'scholarly' END AS route FROM refs""",
+    "source_type_route": f"{_WITH} SELECT ref_id, CASE WHEN {_ARCHIVE} THEN 'archive' WHEN {_MEDIA} THEN 'media' ELSE 'scholarly' END AS route FROM (SELECT ref_id, coalesce(raw_ref, '') AS raw FROM refs)",
     "publisher_route": f"{_WITH} SELECT CASE WHEN contains(p, 'university press') THEN 'press' WHEN contains(p, 'proceedings') THEN 'proceedings' WHEN regexp_matches(p, 'journal|annals|quarterly|review') THEN 'journal' WHEN p = '' THEN 'none' ELSE 'other' END AS kind, source_name, count(*) AS n FROM (SELECT source_name, lower(coalesce(publisher, '')) AS p FROM works) GROUP BY ALL",
     "text_quality_rule": "WITH l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY classified_at DESC, verdict DESC, image_coverage DESC, text_fraction DESC) AS rn FROM text_quality) SELECT doc_id, CASE WHEN text_fraction < 0.5 THEN 'pure_scan' WHEN image_coverage >= 0.9 THEN 'scan_ocr' ELSE 'digital' END AS computed, coalesce(lower(trim(verdict)), 'none') AS given FROM l WHERE rn = 1 AND image_coverage IS NOT NULL AND text_fraction IS NOT NULL",
     "catalog_search": f"{_WITH} SELECT work_id, title, year FROM works WHERE contains(lower(title), 'chess') AND source_name = 'meridian'",
     "catalog_upsert": f"{_WITH} SELECT work_id, title, year, doi FROM works UNION ALL SELECT work_id, shelf_title, pub_year, doi FROM course_readings",
     "catalog_delete": f"{_WITH} SELECT source_name, count(*) AS n FROM works WHERE NOT (year IS NULL OR year = 'n.d.') GROUP BY source_name",
-    "missing_identifiers": f"""{_WITH}, b AS (SELECT doc_id, CASE WHEN {_doi("coalesce(doi, '')")} <> '' THEN 'doi' WHEN coalesce(url, '') <> '' OR regexp_matches(coalesce(raw_ref, ''), 'https?://|www\\.') THEN 'url' ELSE 'should_have' END AS b FROM refs)
-      SELECT doc_id, count(*) FILTER (b = 'doi') AS doi, count(*) FILTER (b = 'url') AS url, count(*) FILTER (b = 'should_have') AS should_have FROM b GROUP BY doc_id""",
+    "missing_identifiers": f"""{_WITH}, b AS (SELECT doc_id, CASE WHEN trim(coalesce(doi, '')) <> '' THEN 'doi' WHEN trim(coalesce(url, '')) <> '' OR regexp_matches(raw, '(?i)https?://|www\\.') THEN 'url' WHEN {_MEDIA} THEN 'media' WHEN {_ARCHIVE} THEN 'archive' ELSE 'none' END AS b
+      FROM (SELECT *, coalesce(raw_ref, '') AS raw FROM refs)) SELECT doc_id, count(*) AS total, count(*) FILTER (b = 'doi') AS with_doi, count(*) FILTER (b = 'url') AS with_url, count(*) FILTER (b = 'media') AS missing_media, count(*) FILTER (b = 'archive') AS missing_archive, count(*) FILTER (b = 'none') AS should_have FROM b GROUP BY doc_id""",
     "ref_completeness": f"""{_WITH}, c AS (SELECT DISTINCT doc_id, citation_key, 1 AS cited FROM cits), l AS (SELECT DISTINCT ref_id, 1 AS live FROM checks WHERE category IN ('ok', 'content_match', 'redirect'))
       SELECT doc_id, count(*) AS n_refs, count(cited) AS n_cited, count(live) AS n_live, CAST(sum(CAST({_doi("coalesce(doi, '')")} <> '' AS INT)) AS BIGINT) AS n_doi FROM refs LEFT JOIN c USING (doc_id, citation_key) LEFT JOIN l USING (ref_id) GROUP BY doc_id""",
     "toc_cross_reference": "SELECT book_id, CASE WHEN max(start_page) IS NULL THEN 'none' WHEN max(start_page) > max(logical_pages) THEN 'incomplete' ELSE 'complete' END AS vote FROM toc_entries GROUP BY book_id",
@@ -153,8 +183,9 @@ SQL: dict[str, str] = {
     "secondary_markers": rf"""{_WITH}, m AS (SELECT cit_id, regexp_extract(text, '\((\p{{Lu}}[\p{{L}}''-]+)[^()]*?,? as cited in (\p{{Lu}}[\p{{L}}''-]+)', ['o', 'r']) AS g FROM cits WHERE text IS NOT NULL) SELECT cit_id, g.o AS original, g.r AS read_in FROM m WHERE g.o <> ''""",
     "quote_verify": rf"""{_WITH}, q AS (SELECT cit_id, doc_id, lower({_squeeze(r"regexp_extract(text, '[\x{201C}" + '"' + r"]([^\x{201C}\x{201D}" + '"' + r"]{3,})[\x{201D}" + '"' + r"]', 1)")}) AS q FROM cits WHERE claim_type = 'quotation' AND text IS NOT NULL), b AS (SELECT doc_id, lower({_squeeze('text')}) AS body FROM documents WHERE text IS NOT NULL)
       SELECT cit_id, CASE WHEN contains(body, q) THEN 'exact' WHEN length(q) > 20 AND contains(body, substr(q, 1, 50)) THEN 'near' ELSE 'missing' END AS outcome FROM q JOIN b USING (doc_id) WHERE q <> ''""",
-    "uncited_sentences": f"""{_WITH}, s AS (SELECT doc_id, CAST(para_idx AS INT) AS paragraph_index, lower(substr(sentence, 1, 30)) AS s FROM ({_SENTENCES})), c AS (SELECT doc_id, paragraph_index, lower(substr(text, 1, 30)) AS c FROM cits WHERE text <> '')
-      SELECT doc_id, paragraph_index, count(*) AS n FROM s WHERE EXISTS (SELECT 1 FROM c WHERE c.doc_id = s.doc_id AND c.paragraph_index = s.paragraph_index) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = s.doc_id AND c.paragraph_index = s.paragraph_index AND c.c = s.s) GROUP BY ALL""",
+    "uncited_sentences": f"""{_WITH}, s AS (SELECT doc_id, CAST(para_idx AS INT) AS paragraph_index, lower(sentence) AS s FROM ({_SENTENCES})), c AS (SELECT DISTINCT doc_id, paragraph_index, lower(text) AS c FROM cits WHERE text <> ''),
+      j AS (SELECT s.doc_id, s.paragraph_index, s.s, (SELECT count(*) FROM c WHERE c.doc_id = s.doc_id AND c.paragraph_index = s.paragraph_index) AS near, (SELECT count(*) FROM c WHERE c.doc_id = s.doc_id AND c.paragraph_index = s.paragraph_index AND (contains(c.c, substr(s.s, 1, 30)) OR contains(s.s, substr(c.c, 1, 30)))) AS hit FROM s)
+      SELECT doc_id, paragraph_index, count(*) AS n FROM j WHERE near > 0 AND hit = 0 GROUP BY ALL""",
     "paper_hints": f"{_WITH}, {_SURNAMES} SELECT doc_id, string_agg(DISTINCT surname, ' ' ORDER BY surname) AS surnames, count(DISTINCT ref_id) AS n_refs FROM sur GROUP BY doc_id",
     "paper_keywords": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 10",
     "reference_batches": f"{_WITH}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx, ref_id) - 1) // 10 AS batch FROM refs) SELECT doc_id, batch, count(*) AS n, min(ref_id) AS first_ref FROM b GROUP BY ALL",
