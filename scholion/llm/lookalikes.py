@@ -1,12 +1,13 @@
 """Problem 6: one consistent form for text that looks alike but differs in its characters.
 
 The code points of the corpus are counted (at most one row per code point). Every code point that
-may stand for another text, and every string that a rule ties to it, becomes a node; a union-find
-over these strings gives transitive look-alike classes (fullwidth A, Greek Alpha, Cyrillic A and A
-are one). In each class the most frequent ordinary member of a script represents it for that
-script. Rewriting is greedy: a multi-pattern automaton over the variants replaces the longest
-match, invisible characters vanish, and letters of another script are replaced in words that are
-otherwise Latin (or Cyrillic); accents are then composed.
+may stand for another text, every string that a rule ties to it (a ligature's letters, a letter
+with its accents apart), becomes a node; a union-find over these strings gives transitive look-alike
+classes (fullwidth A, Greek Alpha, Cyrillic A and A are one). In each class the most frequent
+ordinary member of a script represents it for that script. Rewriting is greedy: an Aho-Corasick
+automaton over all variants, strings and code points, replaces the longest match at each place by
+the representative, so invisible characters vanish and accents are composed; then letters of another
+script are replaced in words that are otherwise Latin (or Cyrillic), by their class's representative.
 
 In the form already, and left alone: typographic quotes, dashes, ellipses, super- and subscripts,
 fractions, the numero sign, single Greek letters and Greek letters without a Latin look-alike, a
@@ -24,6 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,7 @@ GREEK_LIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
 
+_FIRST_MARK, _LAST_MARK = 0x300, 0x36F
 _LATIN, _CYRILLIC, _GREEK = "LATIN", "CYRILLIC", "GREEK"
 _QUOTES = "\"'“”‘’„‚«»‹›"
 _WORD = re.compile(r"[^\W\d_][̀-ͯ]*(?:[^\W\d_][̀-ͯ]*)*")
@@ -80,11 +83,13 @@ class Classes:
 
     def __init__(self, counts: dict[int, int]):
         self._up: dict[str, str] = {}
-        for code in counts:
-            c = chr(code)
-            if (plain := ordinary(code)) is not None:
-                self._join(c, plain)
-        borrowed = CYRILLIC_LIKE | GREEK_LIKE
+        borrowed = CYRILLIC_LIKE | GREEK_LIKE  # accents of letters that may be another script's are composed last
+        variants = {chr(code): p for code in counts if (p := ordinary(code)) is not None}
+        marks = [chr(code) for code in counts if _FIRST_MARK <= code <= _LAST_MARK]
+        if marks:
+            variants |= {c + m: one for code in counts if (c := chr(code)).isalpha() and c not in borrowed for m in marks if len(one := unicodedata.normalize("NFC", c + m)) == 1}
+        for v, p in variants.items():
+            self._join(v, p)
         for other, latin in borrowed.items():
             self._join(other, latin)
         members: dict[str, list[str]] = {}
@@ -99,16 +104,20 @@ class Classes:
                 own = [n for n in plain if (script(n[0]) if n else "") == s]
                 if own:
                     self.best[root, s] = max(own, key=rank)
-        #: Variants that are replaced wherever they stand.
-        self.always = {c: p for code in counts if (p := ordinary(code)) is not None for c in [chr(code)]}
+        #: Variants that are replaced wherever they stand, and what represents their class in the script of their ordinary form.
+        self.always = {v: self.best.get((self._find(v), script(p[0]) if p else ""), p) for v, p in variants.items()}
         #: Letters that have a look-alike in another script, by script: {letter: {script: letter}}.
         self.across: dict[str, dict[str, str]] = {}
         for other, latin in borrowed.items():
             root = self._find(other)
             for letter in (other, latin):
                 self.across.setdefault(letter, {}).update({s: self.best[root, s] for s in (_LATIN, _CYRILLIC, _GREEK) if (root, s) in self.best})
-        self._table = {ord(k): v for k, v in self.always.items()}
-        self._variant = re.compile("[" + "".join(map(re.escape, self.always)) + "]") if self.always else None
+        self._automaton = ahocorasick.Automaton()
+        for v, p in self.always.items():
+            self._automaton.add_word(v, (len(v), p))
+        if self.always:
+            self._automaton.make_automaton()
+        self._variant = re.compile("[" + "".join(map(re.escape, sorted({v[-1] for v in self.always}))) + "]") if self.always else None
         self._foreign = re.compile("[" + "".join(borrowed) + "]")
 
     def _find(self, x: str) -> str:
@@ -123,19 +132,26 @@ class Classes:
         self._up[b] = a
 
     def _plain(self, text: str) -> str:
-        """Every variant replaced that does not depend on its word; selectors and joiners of emoji stay."""
+        """Every variant replaced that does not depend on its word, the longest first; selectors and joiners of emoji stay."""
         if self._variant is None or not self._variant.search(text):
             return text
-        if not re.search("[︀-️‍]", text):
-            return text.translate(self._table)
-        out = []
-        for i, c in enumerate(text):
-            if c in "‍" or "︀" <= c <= "️":
-                if i and (unicodedata.category(text[i - 1]) in ("So", "Sk") or "︀" <= text[i - 1] <= "️" and out and out[-1] == text[i - 1]):
-                    out.append(c)
-                continue
-            out.append(self._table.get(ord(c), c))
-        return "".join(out)
+        out, last = [], 0
+        for end, (size, new) in self._automaton.iter_long(text):
+            start = end + 1 - size
+            if new or not self._joins(text, start):
+                out += [text[last:start], new]
+                last = end + 1
+        return "".join([*out, text[last:]])
+
+    @staticmethod
+    def _joins(text: str, at: int) -> bool:
+        """Whether a joiner or selector belongs to an emoji before it."""
+        if text[at] != "\u200d" and not "\ufe00" <= text[at] <= "\ufe0f":
+            return False
+        before = at - 1
+        while before >= 0 and "\ufe00" <= text[before] <= "\ufe0f":
+            before -= 1
+        return before >= 0 and unicodedata.category(text[before]) in ("So", "Sk")
 
     def _words(self, text: str) -> str:
         """Letters borrowed from another script replaced, word by word; `text` is decomposed."""
