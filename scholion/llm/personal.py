@@ -6,9 +6,9 @@ each anchor a deterministic local parser expands to the boundaries of the item a
 telephone numbers have no cue of their own and are anchored at runs of digits. The text is first
 brought to the form of problem 6, so disguised characters change nothing.
 
-Given names are learned from bibliographic records (all of them); the list is broadcast and holds
-only names that occur at least MIN_GIVEN times, at most MAX_GIVEN of them by frequency; names beside
-a form of address or a role cue are found without it.
+Given names are learned from bibliographic records (all of them): those that make GIVEN_SHARE of all
+given names there, so that the list is the same at every size and has 1 / GIVEN_SHARE entries at
+most; names beside a form of address or a role cue are found without it.
 
 Defined results: null texts have no items and stay null, empty texts stay empty; overlapping items
 are merged in favour of the longer; repeated rows give equal results; long texts are taken whole.
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.lookalikes import Classes
+from scholion.runtime import cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
-MIN_GIVEN, MAX_GIVEN = 5, 100_000
+#: Least share of a given name of the list in all given names; words that an address or a name may reach over on each side of its anchor.
+GIVEN_SHARE, ADDRESS_WORDS, NAME_WORDS = 2e-5, 10, 4
 
 # Cue words of the anchors.
 AT_SIGNS = ("@", "(at)", "[at]", "{at}")
@@ -124,8 +126,8 @@ class Finder:
 
     def _expand(self, text: str, kind: str, start: int, end: int) -> list[Item]:
         if kind == "email":
-            lo, hi = max(0, start - 80), end + 120
-            return [Item(lo + m.start(), lo + m.end(), kind) for m in _EMAIL.finditer(text[lo:hi]) if lo + m.start() <= start < lo + m.end()]
+            m = _EMAIL.match(text, _local_part(text, start))
+            return [Item(m.start(), m.end(), kind)] if m and m.end() > start else []
         if kind == "id_number":
             if start and text[start - 1].isalnum():
                 return []
@@ -135,7 +137,7 @@ class Finder:
             stop = m.start(1) + _number_end(m[1])
             return [Item(start, stop, kind)] if sum(c.isdigit() for c in text[m.start(1) : stop]) >= 5 else []
         if kind == "street_address":
-            lo, hi = max(0, start - 60), end + 60
+            lo, hi = _words_back(text, start, ADDRESS_WORDS), _words_on(text, end, ADDRESS_WORDS)
             return [
                 Item(lo + m.start(), lo + m.end(), kind)
                 for p in (_BOX, *_STREETS) for m in p.finditer(text[lo:hi])
@@ -156,7 +158,7 @@ class Finder:
             return []
         if (m := self.full.match(text, start)) and not _institution(m[2]) and not _cited(text, m.end()):
             return [Item(start, m.end(), kind)]
-        lo = max(0, start - 60)
+        lo = _words_back(text, start, NAME_WORDS)
         if (m := self.back.search(text[lo:end])) and not _cited(text, end):
             return [Item(lo + m.start(), end, kind)]
         return []
@@ -191,6 +193,41 @@ class Finder:
         return "".join([*out, text[last:]])
 
 
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+
+
+def _local_part(text: str, at: int) -> int:
+    """Where the local part before an at-sign starts, with an opening bracket; a blank may stand between."""
+    if at and text[at - 1] == " ":
+        at -= 1
+    end = at
+    while at and text[at - 1] in _LOCAL:
+        at -= 1
+    while at < end and text[at] in "._%+-":
+        at += 1
+    return at - 1 if at and text[at - 1] == "<" else at
+
+
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where the n-th word before a place starts."""
+    for _ in range(n):
+        while at and text[at - 1] == " ":
+            at -= 1
+        while at and text[at - 1] != " ":
+            at -= 1
+    return at
+
+
+def _words_on(text: str, at: int, n: int) -> int:
+    """Where the n-th word after a place ends."""
+    for _ in range(n):
+        while at < len(text) and text[at] == " ":
+            at += 1
+        while at < len(text) and text[at] != " ":
+            at += 1
+    return at
+
+
 def _word_end(text: str, at: int) -> int:
     while at < len(text) and text[at].isalpha():
         at += 1
@@ -224,8 +261,9 @@ def given_names(people: DataFrame, column: str = "name") -> frozenset[str]:
     """The given names of bibliographic records, from `Given Surname` and `Surname, Given` forms in all rows."""
     one = people.select(F.explode(F.split(column, r"\s*(?:;|&|\band\b)\s*")).alias("n")).where("n <> ''")
     first = one.select(F.coalesce(F.nullif(F.regexp_extract("n", r"^[^,]+,\s*([\p{Lu}][\p{Ll}]{2,})(?:\s+\p{Lu}\.)*$", 1), F.lit("")), F.regexp_extract("n", r"^([\p{Lu}][\p{Ll}]{2,})\s+(?:\p{Lu}\.\s*)?[\p{Lu}][^,]*$", 1)).alias("g"))
-    counted = first.where("g <> ''").groupBy("g").count().where(F.col("count") >= MIN_GIVEN)
-    return frozenset(r["g"] for r in counted.orderBy(F.desc("count"), "g").limit(MAX_GIVEN).collect())
+    counted = cut(first.where("g <> ''").groupBy("g").count())
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    return frozenset(r["g"] for r in counted.where(F.col("count") >= total * GIVEN_SHARE).collect())
 
 
 def find(df: DataFrame, id_col: str, text_col: str, given: frozenset[str], counts: dict[int, int]) -> DataFrame:
