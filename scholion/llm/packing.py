@@ -5,7 +5,9 @@ at most `capacity` rows however many items there are. Each step takes the larges
 finds, with a bitset subset-sum over the sizes still available, the fullest combination that fits;
 that combination is used for as many containers as the histogram allows and removed. Every step
 exhausts at least one size, so there are at most `capacity` steps. Items are then numbered within
-their size and joined with the plan, which is bounded by the capacity and may be broadcast.
+their size, in salted ranges whose offsets are joined where the items already are, and joined with
+the plan: a row per step and size in it, fewer than capacity * log(capacity) however many items
+there are, which is checked before it is broadcast.
 
 Defined results: an item above the capacity is divided into full pieces and a rest, and only then;
 null and zero sizes take no space and get no container; equal sizes are filled in order of salt
@@ -21,6 +23,8 @@ from scholion.runtime import cut
 
 #: Items of one size are numbered in this many independent ranges, so that a common size is no hot group.
 SALTS = 64
+#: Rows of a plan that are broadcast at most.
+PLAN_ROWS = 1 << 18
 
 
 def fullest(capacity: int, sizes: list[tuple[int, int]]) -> dict[int, int]:
@@ -81,9 +85,11 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         for size, n in mix.items():
             rows.append((size, offset[size], offset[size] + times * n, first, n))
             offset[size] += times * n
-    steps = F.broadcast(spark.createDataFrame(rows, "size long, lo long, hi long, first long, per long"))
+    # A step has few sizes beside those it exhausts; beyond the bound the plan is shuffled like any table.
+    steps = spark.createDataFrame(rows, "size long, lo long, hi long, first long, per long")
+    steps = F.broadcast(steps) if len(rows) <= PLAN_ROWS else steps
     before = counts.select("size", "salt", (F.sum("count").over(Window.partitionBy("size").orderBy("salt")) - F.col("count")).alias("before"))
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("_id", "piece")) - 1).join(F.broadcast(before), ["size", "salt"])
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("_id", "piece")) - 1).join(before.hint("merge"), ["size", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     return (
         ranked.join(steps, (ranked["size"] == steps["size"]) & (ranked["rank"] >= steps["lo"]) & (ranked["rank"] < steps["hi"]))
