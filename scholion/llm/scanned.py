@@ -4,9 +4,11 @@ Words are counted over a clean corpus (all of it); a word is frequent from a fix
 words on, so the lexicon has at most 1 / RARE entries and may be broadcast. Skip-gram vectors with
 negative samples are learned from the co-occurrence counts of all texts: pairs are aggregated
 first, workers take gradient steps on their share of the pairs, and the vectors are averaged each
-round; only the bounded vectors reach the driver. A rare word is linked to frequent words that
-plausible glyph edits lead to (rn for m, 0 for o, ...); where there are several, the one whose
-vector suits the words around it is taken. Then the furniture of the page goes (running headers,
+round; only the bounded vectors reach the driver. A rare word is linked to the frequent words that
+usual glyph edits lead to (rn for m, 0 for o, ...), and of several the one whose vector suits the
+words around best is taken. Where there is none, one letter may have been taken for any other: the
+words that differ in one letter are candidates if their vectors suit the words around far better
+than words do on average (SURE deviations). Then the furniture of the page goes (running headers,
 page numbers, stray marks), broken and spaced words are joined, run-together words are parted, and
 lines are reflowed into paragraphs.
 
@@ -39,6 +41,11 @@ OFTEN, MANY = 1e-5, 25
 #: Words that get vectors occur at least in this share; length of vectors, words beside, negatives, rounds.
 SHARE, DIM, WINDOW, NEGATIVES, ROUNDS = 1e-5, 16, 2, 3, 2
 
+#: By how many deviations more than all words a word has to suit its surroundings where no usual glyph edit leads to it; its least letters.
+SURE, LETTERS = 2.0, 6
+#: Share of all words from which a word counts as common.
+COMMON = 1e-4
+
 # What the reader makes of a glyph, seen -> meant.
 GLYPHS = (
     ("rn", "m"), ("m", "rn"), ("m", "in"), ("in", "m"), ("vv", "w"), ("w", "vv"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("ii", "n"), ("u", "ii"), ("li", "h"), ("h", "li"),
@@ -143,8 +150,8 @@ def skip_grams(texts: DataFrame, column: str, words: dict[str, int]) -> tuple[li
                         o = b if k == 0 else np.minimum(np.searchsorted(edges, rng.random(len(part))), size - 1)
                         g = (0.05 * w * ((k == 0) - 1 / (1 + np.exp(-np.clip((v[a] * c[o]).sum(1), -8, 8)))))[:, None].astype(np.float32)
                         dv, dc = g * c[o], g * v[a]
-                        np.add.at(v, a, dv)
-                        np.add.at(c, o, dc)
+                        _add(v, a, dv)
+                        _add(c, o, dc)
                         seen[0, a] = seen[1, o] = True
             for k, m in enumerate((v, c)):
                 at = np.flatnonzero(seen[k])
@@ -157,6 +164,14 @@ def skip_grams(texts: DataFrame, column: str, words: dict[str, int]) -> tuple[li
     return own, v, c
 
 
+def _add(m: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
+    """m[at] += d with the rows of equal places summed."""
+    order = np.argsort(at, kind="stable")
+    s = at[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    m[s[first]] += np.add.reduceat(d[order], first, axis=0)
+
+
 class Repairer:
     """Repairs texts by a lexicon and vectors."""
 
@@ -164,11 +179,19 @@ class Repairer:
         self.words = words
         self.at = {w: i for i, w in enumerate(own)}
         self.v, self.c = v, c
+        if len(own):
+            self.mean, self.spread = v.mean(axis=0), np.cov(v.T)
+        self.common = COMMON * sum(words.values())
         self.prefixes = {w[:i] for w in words for i in range(1, len(w) + 1)}
         self.by_first: dict[str, list[tuple[str, str]]] = {}
         for seen, meant in GLYPHS:
             self.by_first.setdefault(seen[0], []).append((seen, meant))
         self.memo: dict[str, list[str]] = {}
+        self.masked: dict[tuple[str, str], list[str]] = {}  # words with vectors, by what is before and after a letter
+        for w in own:
+            if len(w) >= LETTERS:
+                for i in range(len(w)):
+                    self.masked.setdefault((w[:i], w[i + 1 :]), []).append(w)
 
     def linked(self, word: str) -> list[str]:
         """Frequent words that plausible glyph edits make of a rare word, those with fewest edits first."""
@@ -194,12 +217,28 @@ class Repairer:
             self.memo[word] = sorted((w for w, n in found.items() if n == least), key=lambda w: (-self.words[w], w))
         return self.memo[word]
 
-    def _best(self, options: list[str], around: list[str]) -> str:
+    def suits(self, words: list[str], around: list[str]) -> list[float | None]:
+        """By how many deviations each word suits the words around more than all words do on average; None where nothing is known."""
         known = [self.at[w] for w in around if w in self.at]
-        if len(options) < 2 or not known or self.v is None:
+        if not known:
+            return [None] * len(words)
+        context = self.c[known].mean(axis=0)
+        deviation = max(float(context @ self.spread @ context) ** 0.5, 1e-9)
+        return [float((self.v[self.at[w]] - self.mean) @ context) / deviation if w in self.at else None for w in words]
+
+    def _best(self, options: list[str], around: list[str]) -> str:
+        """The option whose vector suits the words around best; frequent words come first where nothing is known."""
+        if len(options) < 2:
             return options[0]
-        score = lambda w: (float((self.c[known] @ self.v[self.at[w]]).mean()) if w in self.at else -9.0) + 0.2 * np.log(self.words[w])
-        return max(options, key=score)
+        return max(zip(self.suits(options, around), options), key=lambda x: (x[0] if x[0] is not None else -9.0) + 0.2 * np.log(self.words[x[1]]))[1]
+
+    def unusual(self, word: str, around: list[str]) -> str | None:
+        """The word that differs in one letter and suits the words around far better than words do on average, or None."""
+        if len(word) < LETTERS or self.v is None or not word.isalpha():
+            return None
+        options = list(dict.fromkeys(o for i in range(len(word)) for o in self.masked.get((word[:i], word[i + 1 :]), ()) if o != word))
+        best = max(((z, o) for z, o in zip(self.suits(options, around), options) if z is not None), default=None)
+        return best[1] if best and best[0] >= SURE else None
 
     def _furniture(self, lines: list[str]) -> list[bool]:
         out, capital = [], [bool(re.search(r"[^\W\d_]", x)) and x == x.upper() and x != x.lower() for x in lines]
@@ -229,13 +268,12 @@ class Repairer:
         letters = sum(c.isalpha() for c in w)
         if not letters or any("一" <= c <= "鿿" for c in w):
             return w
-        if (k := re.fullmatch(r"(\d{2,})([^\W\d_]{3,})", w)) and k[2].lower() in self.words and k[2] not in ("ppm", "mm", "km", "kg"):
+        if (k := re.fullmatch(r"(\d{2,})([^\W\d_]{3,})", w)) and k[2].lower() in self.words and (len(k[2]) > 3 or self.words[k[2].lower()] >= self.common):
             return f"{k[1]} {k[2]}"
         if letters * 2 <= len(w) or letters != len(w) and len(w) < 4:
             return w
-        around = [x.lower() for x in _TOKEN.findall(text[max(0, m.start() - 40) : m.start()])[-3:] + _TOKEN.findall(text[m.end() : m.end() + 40])[:3]]
         if options := self.linked(low):
-            best = self._best(options, around)
+            best = self._best(options, _around(text, m))
             if len(w) > 3 or self.words[best] >= 50:
                 return _cased(w, best)
         if letters == len(w) and not re.search(r"(?:straße|strasse|weg|gasse|platz)$", low):
@@ -243,6 +281,8 @@ class Repairer:
                 a, b = low[:i], low[i:]
                 if a in self.words and b in self.words and (w[i].isupper() or min(self.words[a], self.words[b]) >= 10 and (len(a) > 2 or len(b) > 4) and len(b) > 1):
                     return f"{w[:i]} {w[i:]}"
+        if letters == len(w) and (best := self.unusual(low, _around(text, m))):
+            return _cased(w, best)
         return w
 
     def repair(self, text: str) -> tuple[str, bool]:
@@ -334,6 +374,11 @@ class Repairer:
         return _reflowed(t), found
 
 
+def _around(text: str, m: re.Match) -> list[str]:
+    """Three words on each side of a token, in lower case."""
+    return [x.lower() for x in _TOKEN.findall(text[max(0, m.start() - 40) : m.start()])[-3:] + _TOKEN.findall(text[m.end() : m.end() + 40])[:3]]
+
+
 def _cased(seen: str, word: str) -> str:
     if seen.isupper() and len(seen) > 1:
         return word.upper()
@@ -345,7 +390,7 @@ def _reflowed(text: str) -> str:
     out: list[str] = []
     for line in text.split("\n"):
         line = line.strip() if out else line.rstrip()
-        keep = re.match(r"(?:\d{1,2}\.|[•*-])\s", line) or out and (out[-1].startswith("“O ") or re.search(r"[,;]$", out[-1]) and re.search(r"“[^”]*$", out[-1]) and line[:1].isupper() and len(out[-1]) < 50)
+        keep = re.match(r"(?:\d{1,2}\.|[•*-])\s", line) or out and re.search(r"“[^”]*$", out[-1]) and line[:1].isupper() and len(out[-1]) < 50
         if out and line and out[-1] and not keep:
             out[-1] = f"{out[-1]} {line}"
         else:

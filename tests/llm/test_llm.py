@@ -143,6 +143,24 @@ def test_skip_grams_tell_contexts_apart(spark):
     assert scanned.skip_grams(df.where("false"), "text", {})[0] == []
 
 
+def test_vectors_decide_between_corrections_and_accept_unusual_ones():
+    import numpy as np
+
+    words = {w: 500 for w in "paint wall colour march soldier battle burn barn garden".split()}
+    own = list(words)
+    v = np.array([[3, 0] if w in ("paint", "wall", "colour", "garden", "barn") else [0, 3] for w in own], float)
+    r = scanned.Repairer(words, own, v, v)
+    assert r._best(["burn", "barn"], ["paint", "wall"]) == "barn" and r._best(["burn", "barn"], ["battle", "soldier"]) == "burn"
+    many = {**words, **{f"filler{i}": 500 for i in range(60)}}
+    own = list(many)
+    rng = np.random.default_rng(1)
+    v = np.array([[3, 0] if w in ("paint", "wall", "colour", "garden") else [0, 3] if w in ("soldier", "battle", "march") else list(rng.normal(size=2) * 0.3) for w in own], float)
+    with_vectors, without = scanned.Repairer(many, own, v, v), scanned.Repairer(many)
+    text = "paint the wall with colour gaxden paint wall"
+    assert with_vectors.repair(text) == ("paint the wall with colour garden paint wall", True)
+    assert without.repair(text)[1] is False and with_vectors.repair("march to battle gaxden battle march")[1] is False
+
+
 # 3. Residue
 
 
