@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,22 +30,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="scholion-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(shared)
 
 
+#: Tables written by `cut`, to be removed at the end.
+_tables: list[str] = []
+
+
+def _remove(jvm, conf) -> None:
+    """Deletes the tables of this driver; what cannot be reached any more stays with the folder."""
+    try:
+        for path in _tables:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001  # the JVM is gone
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once as a table in the shared folder and read again.
 
     It is computed once, its lineage ends there, it survives lost executors, and unlike a plain
-    checkpoint it is compressed. The folder belongs to the application and goes with it.
+    checkpoint it is compressed. The table is removed when the driver's Python ends, since results
+    may be read from it until then.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, by which hash-bucket counts are scaled."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
