@@ -1,9 +1,11 @@
 """Problem 5: splitting oversized items at natural boundaries, by ranges with halos.
 
-An item is an interval of positions (here the pages of a chapter) that is never loaded as a whole.
-The axis is cut into ranges of a fixed width. Each range, with the boundaries of a halo behind it,
-computes where every possible piece start in it leads; these small tables are stitched along the
-item (start of each range, prefix sum of pieces), and each range then emits its own pieces.
+An item is an interval of positions (pages of a chapter, bytes of a file) that is never loaded as a
+whole. The axis is cut into ranges of a fixed width. Each range, with the boundaries of a halo behind
+it, computes where every possible piece start in it leads. A later start never leads to an earlier
+place, so starts that lead to one place are neighbours and the table is kept as runs of them; these
+small tables are stitched along the item (start of each range, prefix sum of pieces), and each range
+then emits its own pieces. Boundaries of files are found by workers that read byte ranges with halos.
 
 A piece that starts at `a` ends before the last boundary `c` with a + overlap < c <= a + max_size,
 or before a + max_size where there is none, and the next piece starts at c - overlap.
@@ -15,10 +17,13 @@ max_size - 1; empty tables give no rows; columns beside those named are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.runtime import cut
@@ -53,11 +58,12 @@ def oversized(bounds: DataFrame) -> DataFrame:
     return bounds.where("hi - lo + 1 > max_size")
 
 
-def next_start(a: int, hi: int, size: int, overlap: int, marks: set[int]) -> tuple[int, bool]:
-    """(cut after the piece that starts at a, whether a boundary lies there); the cut is hi + 1 at the end."""
+def next_start(a: int, hi: int, size: int, overlap: int, marks: list[int]) -> tuple[int, bool]:
+    """(cut after the piece that starts at a, whether a boundary lies there) by rising marks; the cut is hi + 1 at the end."""
     if a + size > hi:
         return hi + 1, False
-    return next(((c, True) for c in range(a + size, a + overlap, -1) if c in marks), (a + size, False))
+    k = bisect_right(marks, a + size) - 1
+    return (marks[k], True) if k >= 0 and marks[k] > a + overlap else (a + size, False)
 
 
 def split(items: DataFrame, marks: DataFrame, axis: str, keys: list[str], width: int = RANGE) -> DataFrame:
@@ -79,32 +85,55 @@ def split(items: DataFrame, marks: DataFrame, axis: str, keys: list[str], width:
 
     def lead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            exits, pieces = [], []
+            tables = []
             for lo, hi, size, overlap, b, at in zip(f.lo, f.hi, f.max_size, f.overlap_size, f.block, f.marks):
-                first, end, known, seen = max(lo, b * width), (b + 1) * width, set(at), {}
-                for a in range(min(hi, end - 1), first - 1, -1):
-                    c, _ = next_start(a, hi, size, overlap, known)
-                    to = c - overlap if c <= hi else hi + 1
-                    seen[a] = (to, 1) if to >= end or to > hi else (seen[to][0], seen[to][1] + 1)
-                entries = range(first, min(hi, end - 1, first + size) + 1)
-                exits.append([int(seen[a][0]) for a in entries])
-                pieces.append([int(seen[a][1]) for a in entries])
-            yield f[keys].assign(block=f.block, lo=f.lo, first=[max(lo, b * width) for lo, b in zip(f.lo, f.block)], exits=exits, pieces=pieces)
-
-    tables = ranges.mapInPandas(lead, f"{fields}, block int, lo int, first int, exits array<int>, pieces array<int>")
-    # The stitch sees at most max_size numbers a range, never the item.
-    step = "aggregate({0}, struct(min_lo AS at, 0 AS n, cast(array() AS array<struct<block:int,entry:int,before:int>>) AS found), (s, t) -> if(s.at < t.first OR s.at >= t.first + size(t.exits), s, struct(t.exits[s.at - t.first] AS at, s.n + t.pieces[s.at - t.first] AS n, concat(s.found, array(struct(t.block AS block, s.at AS entry, s.n AS before))) AS found)), s -> s.found)"
-    entries = (
-        tables.groupBy(*keys)
-        .agg(F.min("lo").alias("min_lo"), F.array_sort(F.collect_list(F.struct("block", "first", "exits", "pieces"))).alias("t"))
-        .select(*keys, F.inline(F.expr(step.format("t"))))
-    )
+                first, end, known, seen = max(lo, b * width), (b + 1) * width, sorted(at), {}
+                for entry in range(first, min(hi, end - 1, first + size) + 1):
+                    path, a = [], entry
+                    while a not in seen:  # paths of different entries soon meet at a boundary
+                        c, _ = next_start(a, hi, size, overlap, known)
+                        to = c - overlap if c <= hi else hi + 1
+                        path.append(a)
+                        if to >= end or to > hi:
+                            seen[a] = (to, 1)
+                            path.pop()
+                            break
+                        a = to
+                    for a, after in zip(reversed(path), [a, *reversed(path)]):
+                        seen[a] = (seen[after][0], seen[after][1] + 1)
+                # Runs of entries with one exit and one number of pieces.
+                runs = []
+                for a in range(first, min(hi, end - 1, first + size) + 1):
+                    if not runs or runs[-1][1:] != seen[a]:
+                        runs.append((a, *seen[a]))
+                tables.append(tuple([int(r[k]) for r in runs] for k in range(3)))
+            yield f[keys].assign(block=f.block, lo=f.lo, starts=[t[0] for t in tables], exits=[t[1] for t in tables], pieces=[t[2] for t in tables])
+
+    tables = ranges.mapInPandas(lead, f"{fields}, block bigint, lo bigint, starts array<bigint>, exits array<bigint>, pieces array<bigint>")
+    # The stitch sees the runs of each range, never the item.
+    stitched = tables.groupBy(*keys).agg(F.min("lo").alias("lo"), F.array_sort(F.collect_list(F.struct("block", "starts", "exits", "pieces"))).alias("t"))
+
+    def stitch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for i, (at, rows) in enumerate(zip(f.lo, f.t)):
+                n = 0
+                for r in rows:
+                    starts = r["starts"]
+                    if len(starts) and starts[0] <= at < (r["block"] + 1) * width:
+                        k = bisect_right(starts, at) - 1
+                        out.append((i, r["block"], at, n))
+                        at, n = r["exits"][k], n + r["pieces"][k]
+            which, block, entry, before = zip(*out) if out else ([],) * 4
+            yield f[keys].iloc[list(which)].reset_index(drop=True).assign(block=list(block), entry=list(entry), before=list(before))
+
+    entries = stitched.mapInPandas(stitch, f"{fields}, block bigint, entry bigint, before bigint")
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for i, (hi, size, overlap, b, at, a, n) in enumerate(zip(f.hi, f.max_size, f.overlap_size, f.block, f.marks, f.entry, f.before)):
-                known = set(at)
+                known = sorted(at)
                 while a <= hi and a < (b + 1) * width:
                     c, kept = next_start(a, hi, size, overlap, known)
                     out.append((i, n, a, min(c - 1, hi), kept))
@@ -112,7 +141,61 @@ def split(items: DataFrame, marks: DataFrame, axis: str, keys: list[str], width:
             which, piece, lo, hi, kept = zip(*out) if out else ([],) * 5
             yield f[keys].iloc[list(which)].reset_index(drop=True).assign(piece=list(piece), lo=list(lo), hi=list(hi), at_boundary=list(kept))
 
-    return ranges.join(entries, [*keys, "block"]).mapInPandas(emit, f"{fields}, piece int, lo int, hi int, at_boundary boolean")
+    return ranges.join(entries, [*keys, "block"]).mapInPandas(emit, f"{fields}, piece bigint, lo bigint, hi bigint, at_boundary boolean")
+
+
+def file_boundaries(files: DataFrame, pattern: bytes = rb"\n\s*\n", width: int = 1 << 26, halo: int = 1 << 12) -> DataFrame:
+    """(path, at): the byte offsets after each match of `pattern` in the files of `files` (path, length).
+
+    Every worker reads its byte ranges with a halo behind, so a match that crosses a range's end is
+    found once, by the range in which it starts; no match may be longer than the halo. Paths are of a
+    file system that all workers mount.
+    """
+    ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(width).cast("bigint"))).alias("start"))
+    ranges = ranges.repartition("path", "start")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = re.compile(pattern)
+        for f in frames:
+            for path, start in zip(f.path, f.start):
+                with open(re.sub("^file:/*", "/", path), "rb") as g:
+                    g.seek(max(start - halo, 0))
+                    ahead = start - g.tell()  # what a match before this range uses up is not matched again
+                    raw = g.read(ahead + width + halo)
+                at = [m.end() - ahead + start for m in found.finditer(raw) if 0 <= m.start() - ahead < width]
+                yield pd.DataFrame({"path": path, "at": at})
+
+    return ranges.mapInPandas(run, "path string, at bigint")
+
+
+def split_files(files: DataFrame, max_size: int, overlap: int = 0, pattern: bytes = rb"\n\s*\n", width: int = 1 << 26) -> DataFrame:
+    """(path, piece, lo, hi, at_boundary): byte ranges (inclusive) of the pieces of files given as (path, length).
+
+    A piece without a boundary in it is cut at `max_size` bytes, wherever that is. Empty files give none.
+    """
+    items = files.where("length > 0").select("path", F.lit(0).cast("bigint").alias("lo"), (F.col("length") - 1).alias("hi"), F.lit(max_size).alias("max_size"), F.lit(max(0, min(overlap, max_size - 1))).alias("overlap_size"))
+    return split(items, file_boundaries(files, pattern, width), "path", ["path"], width)
+
+
+def read_pieces(pieces: DataFrame) -> DataFrame:
+    """The pieces with their bytes, each read by its offset."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            body = []
+            for path, lo, hi in zip(f.path, f.lo, f.hi):
+                with open(re.sub("^file:/*", "/", path), "rb") as g:
+                    g.seek(lo)
+                    body.append(g.read(hi - lo + 1))
+            yield f.assign(body=body)
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in pieces.dtypes)
+    return pieces.mapInPandas(run, schema + ", body binary")
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files of a folder, read from the listing alone."""
+    return spark.read.format("binaryFile").load(os.path.join(folder, "*")).select("path", "length")
 
 
 def split_chapters(chapters: DataFrame, toc: DataFrame, limits: DataFrame) -> DataFrame:
@@ -120,4 +203,5 @@ def split_chapters(chapters: DataFrame, toc: DataFrame, limits: DataFrame) -> Da
     bounds = chapter_bounds(chapters, limits)
     sections = toc.where("toc_level >= 2 AND start_page > 0").select("book_id", F.col("start_page").alias("at"))
     pieces = split(bounds, sections, "book_id", ["book_id", "chapter_no"])
-    return pieces.withColumnsRenamed({"lo": "page_start", "hi": "page_end", "at_boundary": "at_section"})
+    pages = [F.col(c).cast("int").alias(n) for c, n in (("piece", "piece"), ("lo", "page_start"), ("hi", "page_end"))]
+    return pieces.select("book_id", "chapter_no", *pages, F.col("at_boundary").alias("at_section"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -263,7 +264,7 @@ def test_disguised_characters_change_nothing(spark):
 def greedy(lo, hi, size, overlap, marks):
     out, a = [], lo
     while a <= hi:
-        c, kept = splitting.next_start(a, hi, size, overlap, set(marks))
+        c, kept = splitting.next_start(a, hi, size, overlap, sorted(set(marks)))
         out.append((a, min(c - 1, hi), kept))
         a = c - overlap if c <= hi else hi + 1
     return out
@@ -307,6 +308,25 @@ def test_query_equals_sql(spark, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, rows)
 
 
+def test_files_are_split_by_byte_ranges(spark, tmp_path):
+    random.seed(5)
+    bodies = {}
+    for k in range(3):
+        text = "".join("".join(random.choices("abcé ", k=random.randint(1, 60))) + random.choice(["\n\n", "\n \n", "\n"]) for _ in range(120))
+        bodies[k] = text.encode()
+        (tmp_path / f"{k}.txt").write_bytes(bodies[k])
+    (tmp_path / "empty.txt").write_bytes(b"")
+    files = splitting.list_files(spark, str(tmp_path))
+    for width in (256, 1 << 20):
+        pieces = splitting.read_pieces(splitting.split_files(files, 200, 20, width=width)).collect()
+        assert {int(os.path.basename(r["path"])[0]) for r in pieces} == {0, 1, 2}
+        for k, raw in bodies.items():
+            own = sorted((r for r in pieces if os.path.basename(r["path"]) == f"{k}.txt"), key=lambda r: r["piece"])
+            ends = [m.end() for m in re.finditer(rb"\n\s*\n", raw)]
+            assert [(r["lo"], r["hi"], r["at_boundary"]) for r in own] == greedy(0, len(raw) - 1, 200, 20, ends)
+            assert all(bytes(r["body"]) == raw[r["lo"] : r["hi"] + 1] for r in own)
+
+
 # 6. Look-alikes
 
 IN_FORM = ["“Ж” marks it", "ΔT of 5 μm", "α, β and γ", "Β-diversity", "H₂O m² ½ № 5", "В уезде Корвгате память (Hollwell & Orr 12)", "共计8411例（1919年）", "a — b … ‘c’", "naïve Ångström", "line\r\nend", "", "☕️ ok"]
