@@ -38,7 +38,7 @@ ORDER = 11
 #: Entries held by a map task before they are written out.
 FLUSH = 1 << 21
 #: Characters of the corpus for each task of a shuffle, and buckets of hashes a task.
-TASK_CHARS, TASK_BUCKETS = 1 << 24, 4
+TASK_CHARS, TASK_BUCKETS = 1 << 22, 4
 #: Most bits of the record filter that goes before the join with the texts; with more records there is none.
 FILTER_BITS = 1 << 26
 
