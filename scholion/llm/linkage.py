@@ -45,10 +45,16 @@ PLACES, REACH = 4, 8
 WORD_BITS = 1 << 16
 #: How much more frequent a word has to be than the one that it may stand for.
 RATIO = 8
+#: Longest word that is shortened in every way; longer ones are found by their parts. Letters of forms in a batch.
+LONG, LETTERS = 48, 1 << 20
+#: Candidates that a worker holds as Python values at a time; numbers in its table of solved blocks; pairs of records that it remembers.
+HELD, SOLVED, ALIKE = 1 << 13, 1 << 20, 1 << 17
 #: Share of the letters that two titles may differ in, and letters on top of it, to be compared word by word.
 CHANGED, SLACK = 0.5, 4
 #: The least confidence of a match.
 MATCH = 0.5
+#: Candidates that a worker holds as Python values at a time, numbers in its table of solved blocks, pairs of records that it remembers.
+HELD, SOLVED, ALIKE = 1 << 13, 1 << 20, 1 << 17
 
 # Words that make another work of the same title.
 MARKERS = frozenset("reply response critics part revisited further evidence second third edition revised volume vol ed sequel rejoinder supplement appendix ii iii iv".split())
@@ -311,6 +317,15 @@ def blocks(groups: list[Evidence]) -> list[np.ndarray]:
     return np.split(f.solve(), starts[1:]) if groups else []
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `most` elements of the lists in a column, or one row."""
+    ends, lo = batch.column(column).offsets.to_pylist(), 0
+    for hi in range(1, batch.num_rows + 1):
+        if hi == batch.num_rows or ends[hi + 1] - ends[lo] > most:
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 _DESC = "title string, main int, short boolean, people array<string>, year int, doi string"
 
 
@@ -340,23 +355,52 @@ def shortened(word: str, depth: int) -> set[str]:
     return every
 
 
+def parts(word: str, depth: int, asks: bool) -> set[str]:
+    """Keys of a long word: a word within `depth` edits of an asked one has one of its 2 * depth + 1 even parts (a swap can spoil two), shifted by `depth` letters at most."""
+    out = set()
+    for n in [len(word)] if asks else range(len(word) - depth, len(word) + depth + 1):
+        bounds = [n * k // (2 * depth + 1) for k in range(2 * depth + 2)]
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            for shift in [0] if asks else range(max(-depth, -lo), min(depth, len(word) - hi) + 1):
+                out.add(f"{n} {k} {word[lo + shift : hi + shift]}")
+    return out
+
+
+def forms(word: str, depth: int, asks: bool) -> set[str]:
+    """Keys of a word, of which an asked word and one within `depth` edits have one in common."""
+    if len(word) <= LONG - depth or asks and len(word) <= LONG:
+        return shortened(word, depth)
+    if asks or len(word) > LONG + depth:
+        return parts(word, depth, asks)
+    return shortened(word, depth) | parts(word, depth, asks)
+
+
+def spread(batches: Iterator[pa.RecordBatch], depth: int, asks: bool) -> Iterator[pa.RecordBatch]:
+    """(word, df) with the forms of the words, in batches of about LETTERS letters."""
+    for batch in batches:
+        lo, letters, held = 0, 0, []
+        for hi, word in enumerate(batch.column(0).to_pylist(), 1):
+            held.append(list(forms(word, depth, asks)))
+            letters += len(held[-1]) * len(word)
+            if letters > LETTERS or hi == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(held, pa.list_(pa.string()))], names=["word", "df", "left"])
+                lo, letters, held = hi, 0, []
+
+
 def _neighbours(asked: DataFrame, known: DataFrame, depth: int) -> DataFrame:
     """(word, option, df): words of `known` (word, df) within `depth` edits of a word of `asked` that are RATIO times as frequent."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                left = [list(shortened(w, depth)) for w in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(left, pa.list_(pa.string()))], names=["word", "df", "left"])
-
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [near(x, y, depth) <= depth for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    left, right = (df.select("word", "df").mapInArrow(spread, "word string, df bigint, left array<string>").select("word", "df", F.explode("left").alias("left")) for df in (asked, known))
-    right = right.select(F.col("word").alias("option"), F.col("df").alias("option_df"), "left")
+    left, right = (
+        df.select("word", "df").mapInArrow(lambda batches, asks=asks: spread(batches, depth, asks), "word string, df bigint, left array<string>").select("word", "df", F.explode("left").alias("left")).withColumn("left", F.xxhash64("left"))
+        for df, asks in ((asked, True), (known, False))
+    )
+    # The forms take a hundred times the room of their words, by which Spark would judge whether to broadcast them.
+    right = right.select(F.col("word").alias("option"), F.col("df").alias("option_df"), "left").hint("merge")
     pairs = left.join(right, "left").where(f"word <> option AND option_df > {RATIO} * df").select("word", "option", "option_df").distinct()
     return pairs.mapInArrow(verified, "word string, option string, option_df bigint").select("word", "option", F.col("option_df").alias("df"))
 
@@ -483,39 +527,48 @@ def link(refs: DataFrame, records: DataFrame, counts: dict[int, int]) -> DataFra
     grouped = judged.groupBy("sig").agg(F.collect_list(F.struct(light.alias("c"), full.alias("d"))).alias("g")).select("sig", F.expr("g.c").alias("c"), F.expr("CASE WHEN size(g) > 1 THEN g.d ELSE array() END").alias("d"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solved: dict[Evidence, np.ndarray] = {}  # equal evidence gives equal confidences
+        solved: dict[Evidence, list[float]] = {}  # equal evidence gives equal confidences
         alike: dict[tuple[int, int], float] = {}
-        for batch in batches:
-            for kept in (solved, alike):
-                if len(kept) > 1 << 18:
-                    kept.clear()
-            sigs, lists, more = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            ends, more_ends = lists.offsets.to_pylist(), more.offsets.to_pylist()
-            t, people, year, doi, works, names, surnames_ = (lists.values.field(k).to_pylist() for k in range(7))
-            people = [p if p is not None else people_agree(x.split(), y.split()) for p, x, y in zip(people, names, surnames_)]
-            records = list(map(Described._make, zip(*(more.values.field(k).to_pylist() for k in range(5)))))
-            asked: list[tuple[int, list[int], Evidence]] = []
-            evidence = list(zip(t, people, year, doi))
-            for k, sig in enumerate(sigs):
-                lo, n = ends[k], ends[k + 1] - ends[k]
-                if n == 1:
-                    asked.append((sig, [works[lo]], ((evidence[lo],), ((0.0,),))))
-                    continue
-                order = sorted(range(lo, lo + n), key=lambda i: (evidence[i], works[i]))
-                ids, own = [works[i] for i in order], [records[more_ends[k] + i - lo] for i in order]
-                twins = [[0.0] * n for _ in range(n)]
-                for i in range(n):
-                    for j in range(i):
-                        pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
-                        if pair not in alike:  # the records of a work meet again in each of its references
-                            alike[pair] = twin_value(own[i], own[j])
-                        twins[i][j] = twins[j][i] = alike[pair]
-                asked.append((sig, ids, (tuple(evidence[i] for i in order), tuple(map(tuple, twins)))))
-            new = list({e: None for _, _, e in asked if e not in solved})
-            solved.update(zip(new, blocks(new)))
-            out = [(sig, work, round(float(v), 4)) for sig, ids, e in asked for work, v in zip(ids, solved[e]) if v >= MATCH]
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64()])], names=["sig", "work", "confidence"])
+        numbers = 0
+        for whole in batches:
+            for batch in slices(whole, 1, HELD):
+                if len(alike) > ALIKE:
+                    alike.clear()
+                sigs, lists, more = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+                # Offsets count from the start of the whole batch's values.
+                ends, more_ends = lists.offsets.to_pylist(), more.offsets.to_pylist()
+                first, more_first = ends[0], more_ends[0]
+                ends, more_ends = [k - first for k in ends], [k - more_first for k in more_ends]
+                held, more_held = lists.values.slice(first, ends[-1]), more.values.slice(more_first, more_ends[-1])
+                t, people, year, doi, works, names, surnames_ = (held.field(k).to_pylist() for k in range(7))
+                people = [p if p is not None else people_agree(x.split(), y.split()) for p, x, y in zip(people, names, surnames_)]
+                records = list(map(Described._make, zip(*(more_held.field(k).to_pylist() for k in range(5)))))
+                asked: list[tuple[int, list[int], Evidence]] = []
+                evidence = list(zip(t, people, year, doi))
+                for k, sig in enumerate(sigs):
+                    lo, n = ends[k], ends[k + 1] - ends[k]
+                    if n == 1:
+                        asked.append((sig, [works[lo]], ((evidence[lo],), ((0.0,),))))
+                        continue
+                    order = sorted(range(lo, lo + n), key=lambda i: (evidence[i], works[i]))
+                    ids, own = [works[i] for i in order], [records[more_ends[k] + i - lo] for i in order]
+                    twins = [[0.0] * n for _ in range(n)]
+                    for i in range(n):
+                        for j in range(i):
+                            pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+                            if pair not in alike:  # the records of a work meet again in each of its references
+                                alike[pair] = twin_value(own[i], own[j])
+                            twins[i][j] = twins[j][i] = alike[pair]
+                    asked.append((sig, ids, (tuple(evidence[i] for i in order), tuple(map(tuple, twins)))))
+                new = list({e: None for _, _, e in asked if e not in solved})
+                solved.update((e, v.tolist()) for e, v in zip(new, blocks(new)))
+                numbers += sum(len(e[0]) * (len(e[0]) + 5) for e in new)
+                out = [(sig, work, round(v, 4)) for sig, ids, e in asked for work, v in zip(ids, solved[e]) if v >= MATCH]
+                if numbers > SOLVED:
+                    solved.clear()
+                    numbers = 0
+                columns = list(zip(*out)) if out else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64()])], names=["sig", "work", "confidence"])
 
     matched = grouped.mapInArrow(solve, "sig bigint, work bigint, confidence double")
     to_works = matched.join(work_ids.select(F.col("id").alias("work_id"), F.col("sig").alias("work")), "work")

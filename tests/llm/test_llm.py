@@ -72,6 +72,42 @@ def test_title_pairs_equal_brute_force(spark):
     assert len(every) > 150 and got <= every and len(got) >= 0.98 * len(every)
 
 
+def test_long_words_are_found_by_few_keys():
+    random.seed(3)
+    for n in [46, 47, 48, 49, 50, 51, 60, 3000] * 40:
+        w = v = "".join(random.choice("abcdef") for _ in range(n))
+        for _ in range(random.randint(0, 2)):
+            k = random.randrange(len(v))
+            v = random.choice([v[:k] + v[k + 1 :], v[:k] + "z" + v[k:], v[:k] + "z" + v[k + 1 :], v[:k] + v[k + 1 : k + 2] + v[k : k + 1] + v[k + 2 :]])
+        keys, others = linkage.forms(w, 2, True), linkage.forms(v, 2, False)
+        assert len(others) < 1500 and sum(map(len, others)) < 100_000
+        if n > 100 or linkage.near(w, v, 2) <= 2:
+            assert keys & others
+
+
+def test_neighbours_are_not_broadcast(spark):
+    words = frame(spark, [("quiet", 90), ("quiett", 0), ("harbour", 80), ("harbuor", 1), ("orchard", 9)], "word string, df long")
+    found = linkage._neighbours(words, words.where("df > 0"), 2)
+    assert {(r["word"], r["option"], r["df"]) for r in found.collect()} == {("quiett", "quiet", 90), ("harbuor", "harbour", 80)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_cut_by_their_candidates(spark):
+    import pyarrow as pa
+
+    lists = [[1] * n for n in (3, 900, 0, 40, 40, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lists, pa.list_(pa.int64()))], names=["sig", "c"])
+    cut = list(linkage.slices(batch, 1, 100))
+    assert [b.column(0).to_pylist() for b in cut] == [[0], [1], [2, 3, 4], [5]] and [x for b in cut for x in b.column(1).to_pylist()] == lists
+    held, linkage.HELD = linkage.HELD, 3
+    try:  # cut between the references of a batch, the links are the same
+        refs = [(i, t, "R. Voskova", "2011", None) for i, t in enumerate(["Public Pottery and Ownership in Inchholm", "Silent Literacy in Ulvhain", "Public Pottery and Ownrship in Inchholm"] * 3)]
+        few = links(spark, refs)
+    finally:
+        linkage.HELD = held
+    assert few == links(spark, refs) and {(i, w) for i in (0, 2, 6) for w in (100, 101)} <= few
+
+
 def test_linkage(spark):
     refs = [
         (1, "Public Pottery and Ownership in Inchholm", "R. Voskova", "2011", None),
