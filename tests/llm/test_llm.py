@@ -136,6 +136,39 @@ def test_admm_reaches_the_optimum():
     assert energy(*y) <= min(energy(a, b) for a, b in grid) + 0.05
 
 
+def test_blocks_end_at_their_own_optimum():
+    random.seed(7)
+    alone = [[(t / 100, p, y, 0.0)] for t in range(30, 101, 5) for p in (0.0, 1.0, -1.0) for y in (0.0, 1.0, -1.0)]
+    groups = [(tuple(e), ((0.0,),)) for e in alone]
+    for n in (2, 3, 4):
+        for _ in range(40):
+            same = [[0.0] * n for _ in range(n)]
+            for i in range(n):
+                for j in range(i):
+                    same[i][j] = same[j][i] = random.choice([0.0, 1.0, 0.93])
+            pairs = tuple((random.choice([1.0, 0.95, 0.75, 0.6, 0.5]), random.choice([0.0, 1.0, -1.0]), random.choice([0.0, 0.7, 1.0, -1.0]), 0.0) for _ in range(n))
+            groups.append((pairs, tuple(map(tuple, same))))
+    got = linkage.blocks(groups)
+    assert all((a == b).all() for a, b in zip(got, (linkage.blocks([g])[0] for g in groups)))  # whatever else is in the batch
+    for (((t, people, year, _),), _), y in zip(groups, got[: len(alone)]):  # one candidate: the best of the few points where a rule begins or ends
+        at = lambda v: v + (4 if t > 0.8 else 1.6) * max(0, t - v) + 2 * (people > 0) * max(0, min(1, t + 0.2) - v) + (2.5 * (people < 0) + 2 * (year < 0)) * v + 0.8 * (year > 0.5) * (1 - v)
+        assert abs(y[0] - min((0, t, min(1, t + 0.2), 1), key=at)) < 1e-6
+    assert linkage.blocks([(((0.5, 0.0, 0.0, 0.0),), ((0.0,),))])[0][0] >= linkage.MATCH
+
+
+def test_titles_whose_two_rarest_words_are_misspelt_on_either_side(spark):
+    pairs = [
+        ("malmminster and the privacy of oral marginalia", "malmmminster and the prvaacy of oral marginalia"),
+        ("medicine humour and thhe oral turn in lundund", "medicine humour and the moral turn in lundsund"),
+        ("ecriture de ormmere essai sur la peche et akerwich 1481", "ecriture de ormmree esssai sur la peche et akerwihc 1481"),
+    ]
+    other = [f"{a} {b} oral moral medicine marginalia" for a in ("ormmere", "akerwich", "privacy", "lundund") for b in ("gardens", "census", "heraldry")]
+    titles = [x for p in pairs for x in p] + other
+    rows = [(i, t, i % 2 == 0 and i < 6, i % 2 == 1 or i >= 6) for i, t in enumerate(titles)]
+    got = {(r["a"], r["b"]) for r in linkage.title_pairs(frame(spark, rows, "id long, title string, asks boolean, has boolean")).collect()}
+    assert got >= {(0, 1), (2, 3), (4, 5)}
+
+
 # 2. Scanned pages
 
 WORDS = {w: 100 for w in "the quiet modern house of reading was reported by writers in ulvhain hygiene and so it carried on across several parishes near both files survive".split()}
