@@ -28,7 +28,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -47,13 +50,15 @@ WORD_BITS = 1 << 16
 RATIO = 8
 #: Longest word that is shortened in every way; longer ones are found by their parts. Letters of forms in a batch.
 LONG, LETTERS = 48, 1 << 20
-#: Candidates that a worker holds as Python values at a time; numbers in its table of solved blocks; pairs of records that it remembers.
-HELD, SOLVED, ALIKE = 1 << 13, 1 << 20, 1 << 17
+#: Keys of titles in a batch.
+KEYS = 1 << 17
+#: Words and pairs of words of which a worker remembers letters and edits.
+REMEMBERED = 1 << 15
 #: Share of the letters that two titles may differ in, and letters on top of it, to be compared word by word.
 CHANGED, SLACK = 0.5, 4
 #: The least confidence of a match.
 MATCH = 0.5
-#: Candidates that a worker holds as Python values at a time, numbers in its table of solved blocks, pairs of records that it remembers.
+#: Candidates that a worker holds as Python values at a time, numbers in its table of solved blocks and in that of the twins among records.
 HELD, SOLVED, ALIKE = 1 << 13, 1 << 20, 1 << 17
 
 # Words that make another work of the same title.
@@ -63,19 +68,22 @@ _MARKUP = re.compile(r"<[^>]{1,20}>")
 _SUBTITLE = re.compile(r":\s|\s[—–-]\s")
 _YEAR = re.compile(r"\d{4}")
 _BRACKET = re.compile(r"\s*\[[^\]]{1,40}\]\s*$")
-_CUT = re.compile(r"(?:\.\.\.|…|[—–:-])\s*$")
+_CUT = ("...", "…", "—", "–", ":", "-")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]")
 _IDEOGRAPH = re.compile("([\u3400-\u9fff])")
 _GAPS = re.compile(r"[\W_]+")
+#: ASCII without what is neither letter nor digit.
+_PLAIN = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 _DOI = re.compile(r"10\.\d{4,9}\s*/\s*[^\s\"<>]+")
 
 
 def fold(text: str) -> str:
     """Letters and digits in lower case without accents, words parted by single blanks."""
     t = text.lower()
-    if not t.isascii():
-        t = unicodedata.normalize("NFKD", t.replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("ß", "ss"))
-        t = _IDEOGRAPH.sub(r" \1 ", _MARKS.sub("", t))
+    if t.isascii():
+        return " ".join(t.replace("&", " and ").translate(_PLAIN).split())
+    t = unicodedata.normalize("NFKD", t.replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("ß", "ss"))
+    t = _IDEOGRAPH.sub(r" \1 ", _MARKS.sub("", t))
     return _GAPS.sub(" ", t.replace("&", " and ")).strip()
 
 
@@ -93,7 +101,7 @@ def describe(title: str | None, classes: Classes | None = None) -> tuple[str, in
         t = shorter
     flat = fold(t)
     main = _SUBTITLE.search(t)
-    return flat, len(fold(t[: main.start()]).split()) if main else flat.count(" ") + bool(flat), bool(_CUT.search(t))
+    return flat, len(fold(t[: main.start()]).split()) if main else flat.count(" ") + bool(flat), t.rstrip().endswith(_CUT)
 
 
 def identifier(doi: str | None) -> str | None:
@@ -125,15 +133,31 @@ def surnames(people: list[str]) -> list[str]:
     return out
 
 
+@lru_cache(REMEMBERED)
+def _letters(word: str) -> int:
+    """The letters of a word as bits; several may share one."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def near(a: str, b: str, most: int) -> int:
     """Edits (with swaps of neighbours) between two words, or most + 1 where there are more."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    x, y = set(a), set(b)
-    if len(x - y) > most or len(y - x) > most:  # an edit brings in one letter at most
+    x, y = _letters(a), _letters(b)
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:  # an edit brings in one letter at most
         return most + 1
+    lo, hi, least = 0, 0, min(len(a), len(b))
+    while lo < least and a[lo] == b[lo]:
+        lo += 1
+    while hi < least - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    if lo or hi:  # equal ends need no edit
+        a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -148,6 +172,11 @@ def near(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+#: The same for words that are compared again and again.
+_near = lru_cache(REMEMBERED)(near)
+
+
+@lru_cache(REMEMBERED)
 def _reach(word: str) -> int:
     return 0 if len(word) < 3 else 1 if len(word) < 6 or word.isdigit() else 1 + len(word) // 4
 
@@ -168,16 +197,16 @@ def compare_titles(a: str, b: str) -> tuple[float, float, bool]:
     edits, used, extra = 0, sum(map(len, y[:lo])), []
     while i < len(x) and j < len(y):
         r = max(_reach(x[i]), _reach(y[j]))
-        n = near(x[i], y[j], r)
+        n = _near(x[i], y[j], r)
         if n <= r:
             edits, used, i, j = edits + n, used + len(y[j]), i + 1, j + 1
-        elif j + 1 < len(y) and near(x[i], y[j + 1], _reach(x[i])) <= _reach(x[i]) and len(y[j]) < 4 and not y[j].isdigit():
+        elif j + 1 < len(y) and _near(x[i], y[j + 1], _reach(x[i])) <= _reach(x[i]) and len(y[j]) < 4 and not y[j].isdigit():
             used, j, edits = used + len(y[j]), j + 1, edits + 1
-        elif i + 1 < len(x) and near(x[i + 1], y[j], _reach(y[j])) <= _reach(y[j]) and len(x[i]) < 4 and not x[i].isdigit():
+        elif i + 1 < len(x) and _near(x[i + 1], y[j], _reach(y[j])) <= _reach(y[j]) and len(x[i]) < 4 and not x[i].isdigit():
             i, edits = i + 1, edits + 1
-        elif j + 1 < len(y) and near(x[i], y[j] + y[j + 1], r + 1) <= r + 1:
+        elif j + 1 < len(y) and _near(x[i], y[j] + y[j + 1], r + 1) <= r + 1:
             edits, used, i, j = edits + 1, used + len(y[j]) + len(y[j + 1]), i + 1, j + 2
-        elif i + 1 < len(x) and near(x[i] + x[i + 1], y[j], r + 1) <= r + 1:
+        elif i + 1 < len(x) and _near(x[i] + x[i + 1], y[j], r + 1) <= r + 1:
             edits, used, i, j = edits + 1, used + len(y[j]), i + 2, j + 1
         elif len(x[i]) < 4 and len(y[j]) < 4 and not x[i].isdigit() and not y[j].isdigit() and x[i] not in MARKERS and y[j] not in MARKERS:
             edits, used, i, j = edits + 1, used + len(y[j]), i + 1, j + 1
@@ -194,6 +223,10 @@ def compare_titles(a: str, b: str) -> tuple[float, float, bool]:
     return agree, used / max(1, total) if rest else 1.0, bool(rest) and not marker
 
 
+#: How surely candidates are of one work, as (i, j, value), i < j; other pairs are not.
+Twins = tuple[tuple[int, int, float], ...]
+
+
 class Described(NamedTuple):
     """What a record says of a work; `people` are surnames."""
 
@@ -232,12 +265,42 @@ def people_agree(a: list[str], b: list[str]) -> float:
 
 def twin_value(a: Described, b: Described) -> float:
     """How surely two records are of one work: 0, or the agreement of their titles where people and years allow it."""
-    t = max(agreement(x.title.count(" ") + 1, x.short, y.main, *compare_titles(x.title, y.title)) for x, y in ((a, b), (b, a)))
-    if t < 0.8:
-        return 0.0
-    people = people_agree(a.people, b.people)
     close = a.year is not None and b.year is not None and abs(a.year - b.year) < 2
-    return round(t, 2) if people >= 0 or close else 0.0
+    if not close and people_agree(a.people, b.people) < 0:
+        return 0.0
+    t = max(agreement(x.title.count(" ") + 1, x.short, y.main, *compare_titles(x.title, y.title)) for x, y in ((a, b), (b, a)))
+    return round(t, 2) if t >= 0.8 else 0.0
+
+
+def twins_among(records: list[Described]) -> Twins:
+    """The pairs of records that are of one work."""
+    return tuple((j, i, same) for i, others in enumerate(_possible(records)) for j in others if j < i and (same := twin_value(records[i], records[j])))
+
+
+def _possible(records: list[Described]) -> Iterator[Iterable[int]]:
+    """For each record those before it, and maybe later ones, whose people or years let them be of its work."""
+    if len(records) < 16:
+        yield from map(range, range(len(records)))
+        return
+    of, in_year, nobody = {}, {}, [i for i, r in enumerate(records) if not r.people]
+    for i, r in enumerate(records):
+        in_year.setdefault(r.year, []).append(i)
+        for p in r.people:
+            of.setdefault(p, []).append(i)
+    names, beside = list(of), {}
+    letters, size = np.array([_letters(p) for p in names], np.uint64), np.array([len(p) for p in names])
+    most = 1 + size // 5
+    for p, x, n in zip(names, letters, size):
+        maybe = (np.abs(size - n) <= most) & (np.bitwise_count(letters & ~x) <= most) & (np.bitwise_count(x & ~letters) <= most)
+        beside[p] = [names[k] for k in np.flatnonzero(maybe) if near(p, names[k], int(most[k])) <= most[k]]
+    for i, r in enumerate(records):
+        if not r.people:
+            yield range(i)
+            continue
+        found = {*nobody, *(j for p in r.people for q in beside[p] for j in of[q])}
+        if r.year is not None:
+            found.update(j for y in (r.year - 1, r.year, r.year + 1) for j in in_year.get(y, ()))
+        yield sorted(found)
 
 
 class Field:
@@ -246,9 +309,10 @@ class Field:
     def __init__(self, variables: int):
         self.n, self.rules = variables, []
 
-    def rule(self, weight: float, terms: dict[int, float], offset: float) -> None:
+    def rule(self, weight: float, terms: dict[int, float] | list[tuple[int, float, float]], offset: float) -> None:
+        """`terms` are coefficients by variable, or (variable, coefficient, how many such rules each variable of its kind has)."""
         if weight > 0:
-            self.rules.append((weight, terms, offset))
+            self.rules.append((weight, [(i, c, 1.0) for i, c in terms.items()] if isinstance(terms, dict) else terms, offset))
 
     def solve(self, rounds: int = 2000, rho: float = 1.0, tolerance: float = 2e-5, starts: list[int] | None = None) -> np.ndarray:
         """Consensus ADMM; every rule's step is the projection of the quadratic onto its hinge.
@@ -263,20 +327,23 @@ class Field:
         ended, out = np.zeros(len(firsts), bool), np.empty(self.n)
         sizes = np.array([len(t) for _, t, _ in self.rules])
         heads, rule = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
-        at = np.fromiter((i for _, t, _ in self.rules for i in t), np.int64)
-        c = np.fromiter((x for _, t, _ in self.rules for x in t.values()), float)
+        at = np.fromiter((i for _, t, _ in self.rules for i, _, _ in t), np.int64)
+        c, times = (np.fromiter((x[k] for _, t, _ in self.rules for x in t), float) for k in (1, 2))
         d, norm = np.array([r[2] for r in self.rules]), np.add.reduceat(c * c, heads)
         most = np.array([r[0] for r in self.rules]) / rho
-        count = np.maximum(np.bincount(at, minlength=self.n), 1)
+        count = np.maximum(np.bincount(at, times, self.n), 1)
         z, u = np.full(self.n, 0.5), np.zeros(len(at))
         live = np.arange(self.n)
-        for _ in range(rounds):
+        for turn in range(1, rounds + 1):
             v = z[at] - u
-            step = np.clip((np.add.reduceat(c * v, heads) + d) / norm, 0, most)  # inside the hinge, on its edge, or outside
+            step = np.minimum(np.maximum((np.add.reduceat(c * v, heads) + d) / norm, 0), most)  # inside the hinge, on its edge, or outside
             local = v - c * step[rule]
-            new = np.clip(np.bincount(at, local + u, len(live)) / count, 0, 1)
+            new = np.minimum(np.maximum(np.bincount(at, (local + u) * times, len(live)) / count, 0), 1)
             apart = local - new[at]
             u += apart
+            if turn % 8:  # whether blocks have ended is seen now and then
+                z = new
+                continue
             moving = np.zeros(len(firsts), bool)
             moving[block[np.abs(new - z) >= tolerance]] = True
             moving[block[at[np.abs(apart) >= 10 * tolerance]]] = True
@@ -289,7 +356,7 @@ class Field:
                 if not keep.any():
                     return out
                 entries, kept = keep[at], keep[at[heads]]
-                at, c, u = (np.cumsum(keep) - 1)[at[entries]], c[entries], u[entries]
+                at, c, u, times = (np.cumsum(keep) - 1)[at[entries]], c[entries], u[entries], times[entries]
                 sizes, d, norm, most = sizes[kept], d[kept], norm[kept], most[kept]
                 heads, rule = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
                 live, z, count, block = live[keep], z[keep], count[keep], block[keep]
@@ -302,7 +369,8 @@ class Field:
 WEIGHTS = {"title": 4.0, "people": 2.0, "doi": 2.0, "no_people": 2.5, "no_year": 2.0, "prior": 1.0, "other_work": 10.0, "exclusive": 3.0, "twin": 3.0}
 
 
-Evidence = tuple[tuple[tuple[float, float, float, float], ...], tuple[tuple[float, ...], ...]]
+#: The evidence of a reference's candidates and the twins among them.
+Evidence = tuple[tuple[tuple[float, float, float, float], ...], Twins]
 
 
 def _small(groups: list[Evidence], n: int) -> np.ndarray:
@@ -315,7 +383,7 @@ def _small(groups: list[Evidence], n: int) -> np.ndarray:
     points = np.concatenate([flat, t, np.minimum(1, t + 0.2), flat + 1], axis=2)  # (block, candidate, point)
     if n == 2:
         one, two = points[:, 0], points[:, 1]
-        same = np.array([twins[0][1] for _, twins in groups])[:, None]
+        same = np.array([twins[0][2] if twins else 0.0 for _, twins in groups])[:, None]
         ends = lambda x: [np.where(same > 0, x + same - 1, 1 - x), np.where(same > 0, x + 1 - same, 1 - x)]  # noqa: E731  # where a rule of both ends
         x = np.concatenate([np.repeat(one, 4, axis=1), one, one, *ends(two)], axis=1)
         y = np.concatenate([np.tile(two, 4), *ends(one), two, two], axis=1)
@@ -331,8 +399,13 @@ def _small(groups: list[Evidence], n: int) -> np.ndarray:
     return (points * best[:, None]).sum(axis=2) / best.sum(axis=1, keepdims=True)
 
 
-def blocks(groups: list[Evidence]) -> list[np.ndarray]:
-    """Confidences of the candidates of many references, from (their evidence, how surely candidates are twins of each other).
+def blocks(groups: list[tuple]) -> list[np.ndarray]:
+    """Confidences of the candidates of many references, from (their evidence, a matrix of how surely candidates are twins of each other)."""
+    return _blocks([(pairs, tuple((i, j, twins[i][j]) for j in range(len(pairs)) for i in range(j) if twins[i][j])) for pairs, twins in groups])
+
+
+def _blocks(groups: list[Evidence]) -> list[np.ndarray]:
+    """The same from lists of twins.
 
     The blocks share no variable, so one run of ADMM solves all of them side by side; those of one or two candidates need none.
     """
@@ -347,12 +420,36 @@ def blocks(groups: list[Evidence]) -> list[np.ndarray]:
     return out
 
 
+def kinds(group: Evidence) -> tuple[list[int], list[Counter]]:
+    """(the kind of each candidate, by kind how many twins of which kind and value each candidate has).
+
+    Candidates are of one kind where their evidence is equal and their twins are, kind by kind. All rules treat
+    them alike, so every step of the solver leaves them equal.
+    """
+    pairs, twins = group
+    number = {e: k for k, e in enumerate(dict.fromkeys(pairs))}
+    kind, many = [number[e] for e in pairs], len(number)
+    while True:
+        beside: dict[int, Counter] = {}
+        for i, j, same in twins:
+            beside.setdefault(i, Counter())[kind[j], same] += 1
+            beside.setdefault(j, Counter())[kind[i], same] += 1
+        looks = [(k, frozenset(beside[i].items()) if i in beside else None) for i, k in enumerate(kind)]
+        number = {x: k for k, x in enumerate(dict.fromkeys(looks))}
+        if len(number) == many:
+            own = dict(zip(kind, (beside.get(i, Counter()) for i in range(len(kind)))))
+            return kind, [own[k] for k in range(many)]
+        kind, many = [number[x] for x in looks], len(number)
+
+
 def _solved(groups: list[Evidence]) -> list[np.ndarray]:
-    """The same by ADMM, for blocks of any size."""
-    f, w, at, starts = Field(sum(len(pairs) for pairs, _ in groups)), WEIGHTS, 0, []
-    for pairs, twins in groups:
+    """The same by ADMM, for blocks of any size: a variable stands for all candidates of its kind, its rules count as often as each of these has them."""
+    every = [kinds(g) for g in groups]
+    f, w, at, starts = Field(sum(len(beside) for _, beside in every)), WEIGHTS, 0, []
+    for (pairs, _), (kind, beside) in zip(groups, every):
         starts.append(at)
-        for i, (t, people, year, doi) in enumerate(pairs, at):
+        size = Counter(kind)
+        for i, (t, people, year, doi) in enumerate(dict(zip(kind, pairs)).values(), at):
             f.rule(w["prior"], {i: 1.0}, 0.0)
             f.rule(w["title"] * (1.0 if t > 0.8 else 0.4), {i: -1.0}, t)
             if people > 0:
@@ -365,15 +462,24 @@ def _solved(groups: list[Evidence]) -> list[np.ndarray]:
                 f.rule(w["no_year"], {i: 1.0}, 0.0)
             if year > 0.5:
                 f.rule(0.8 * year, {i: -1.0}, 1.0)
-            for j in range(i + 1, at + len(pairs)):
-                if same := twins[i - at][j - at]:  # same as i, and i the same as j: same as j
-                    f.rule(w["twin"], {i: 1.0, j: -1.0}, same - 1)
-                    f.rule(w["twin"], {j: 1.0, i: -1.0}, same - 1)
-                else:
-                    f.rule(w["exclusive"], {i: 1.0, j: 1.0}, -1.0)
-        at += len(pairs)
+        alike = [Counter() for _ in beside]  # twins of each kind, whatever their value
+        for a, own in enumerate(beside):
+            for (b, same), n in own.items():
+                alike[a][b] += n
+                if a == b:
+                    f.rule(w["twin"], [(at + a, 1.0, n), (at + a, -1.0, n)], same - 1)
+                else:  # once from either side: same as i, and i the same as j: same as j
+                    f.rule(w["twin"], [(at + a, 1.0, n), (at + b, -1.0, beside[b][a, same])], same - 1)
+        for a in range(len(beside)):
+            if alone := size[a] - 1 - alike[a][a]:
+                f.rule(w["exclusive"], [(at + a, 1.0, alone / 2), (at + a, 1.0, alone / 2)], -1.0)
+            for b in range(a):
+                if others := size[b] - alike[a][b]:
+                    f.rule(w["exclusive"], [(at + a, 1.0, others), (at + b, 1.0, size[a] - alike[b][a])], -1.0)
+        at += len(beside)
     # Evidence has two decimals and optima are sums and halves of it, so what the solver is off is taken back: a pair on the threshold meets it.
-    return np.split(np.round(f.solve(starts=starts) * 200) / 200, starts[1:]) if groups else []
+    found = np.split(np.round(f.solve(starts=starts) * 200) / 200, starts[1:]) if groups else []
+    return [y[kind] for y, (kind, _) in zip(found, every)]
 
 
 def decided(group: Evidence, values: np.ndarray) -> list[float]:
@@ -381,7 +487,9 @@ def decided(group: Evidence, values: np.ndarray) -> list[float]:
     (pairs, twins), y = group, values.tolist()
     if len(y) == 1 or MATCH not in y:
         return y
-    return [0.0 if v == MATCH and any(w >= MATCH and not twins[i][j] and pairs[j] > pairs[i] for j, w in enumerate(y)) else v for i, v in enumerate(y)]
+    same = {p for i, j, _ in twins for p in ((i, j), (j, i))}
+    better = [j for j, w in enumerate(y) if w >= MATCH]
+    return [0.0 if v == MATCH and any((i, j) not in same and pairs[j] > pairs[i] for j in better) else v for i, v in enumerate(y)]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -481,8 +589,37 @@ _TOKENS = """array_distinct(CASE WHEN size(words) = 0 THEN array(replace(title,
  ELSE words END)"""
 
 
+_PLACED = "id bigint, side int, at array<int>, many array<int>, o array<bigint>"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, side, at, o), those of an id one after the other, as one row for each id."""
+
+    def lists(rows: pa.RecordBatch, heads: np.ndarray) -> pa.RecordBatch:
+        ends, options = np.append(heads, rows.num_rows).astype(np.int32), rows.column(3)
+        many = np.diff(options.offsets.to_numpy()).astype(np.int32)
+        every = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)[ends]
+        columns = [pa.ListArray.from_arrays(pa.array(e), v) for e, v in ((ends, rows.column(2)), (ends, pa.array(many)), (every, options.flatten()))]
+        return pa.RecordBatch.from_arrays([*(rows.column(k).take(pa.array(heads)) for k in (0, 1)), *columns], names=["id", "side", "at", "many", "o"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        ids = rows.column(0).to_numpy()
+        heads = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+        if len(heads) > 1:  # the last may go on
+            yield lists(rows.slice(0, heads[-1]), heads[:-1])
+        held = [rows.slice(heads[-1])]
+    for rows in held:
+        yield lists(rows, np.array([0]))
+
+
 def _placed(titles: DataFrame) -> DataFrame:
-    """(id, asks, has, p): the words of each title that records have, as p: array of (df, at, options as hashes), the rarest first.
+    """(id, side, at, many, o): the words of each title that records have, the rarest first: their places, how many options each has, and the options of all as hashes.
+
+    `side` is 1 where references have the title, 2 where records have it, 3 where both do.
 
     `titles` has (id, title, asks, has): whether references and whether records have it.
     """
@@ -494,51 +631,82 @@ def _placed(titles: DataFrame) -> DataFrame:
     every = known.select("word", F.col("word").alias("option"), "df").union(one).union(_neighbours(lost, known, 2))
     # A word has as many options as there are more frequent words within its edits.
     options = cut(every.groupBy("word").agg(F.sum("df").alias("df"), F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("n"), F.xxhash64("option").alias("h")))).alias("o"))).select("word", "df", F.expr("o.h").alias("o"))
-    return tokens.join(options.hint("shuffle_hash"), "word").groupBy("id", "asks", "has").agg(F.array_sort(F.collect_list(F.struct("df", "at", "o"))).alias("p"))
+    side = F.expr("cast(asks AS int) + 2 * cast(has AS int)").alias("side")
+    words = tokens.join(options.hint("shuffle_hash"), "word").select("id", side, "at", "o", "df")
+    return words.repartition("id").sortWithinPartitions("id", "df", "at").select("id", "side", "at", "o").mapInArrow(_gathered, _PLACED)
+
+
+#: Factors that tell keys of places and of few words from others.
+_SPREAD, _FEW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _tuples(p: str, size: int, reach: int) -> str:
-    """SQL: the keys of `size` entries of the array `p` within `reach` entries of each other, for every choice of their options.
+def _tuples(row: np.ndarray, many: np.ndarray, first: np.ndarray, o: np.ndarray, size: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, rows) of `size` words of a row within `reach` words of each other, for every choice of their options; about KEYS at a time.
 
+    `row`, `many` and `first` have of each word its row, how many options it has and where in `o` these begin.
     A key is the exclusive or of the hashes, whatever their order.
     """
-    body = f"array({' ^ '.join(f'u{k}' for k in range(size))})"
-    for k in reversed(range(size)):
-        body = f"flatten(transform(x{k}.o, u{k} -> {body}))"
-    sources = [p]
-    for k in range(1, size):
-        sources.append(f"slice({sources[-1]}, i{k - 1} + 2, {reach - k})")
-    for k in reversed(range(size)):
-        body = f"flatten(transform({sources[k]}, (x{k}, i{k}) -> {body}))"
-    return body
+    for steps in combinations(range(1, reach), size - 1):
+        at = np.arange(max(0, len(row) - steps[-1]))
+        at = at[row[at] == row[at + steps[-1]]]
+        words = [at, *(at + k for k in steps)]
+        counts = np.prod([many[w] for w in words], axis=0, dtype=np.int64)
+        ends = np.cumsum(counts)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + KEYS, "right")))
+            n = counts[lo:hi]
+            which = np.repeat(np.arange(lo, hi), n)
+            choice = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            key = np.zeros(len(which), np.uint64)
+            for w in words:
+                w = w[which]
+                key ^= o[first[w] + choice % many[w]]
+                choice //= many[w]
+            yield key, row[at[which]]
+            lo = hi
+
+
+def _keys(batches: Iterator[pa.RecordBatch], asks: bool, asked_for: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, id, mask) of titles that `_placed` tells of; `asked_for` tells the words of references of few words, by the last bits of their hashes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, at, many, o = batch.column(0).to_numpy(), *(batch.column(k).flatten().to_numpy() for k in (2, 3, 4))
+        size, o = np.diff(batch.column(2).offsets.to_numpy()), o.view(np.uint64)
+        first, row, heads = np.cumsum(many) - many, np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        bits = np.uint64(1) << (o & np.uint64(63))
+        # Of a word with several options the most frequent stands for it.
+        mask = np.bitwise_or.reduceat(bits[first] if asks else np.bitwise_or.reduceat(bits, first), heads)
+        single = lambda w, by=0: ((o[e := np.concatenate([np.arange(f, f + m) for f, m in zip(first[w], many[w])] or [np.zeros(0, int)])] ^ np.repeat(at[w] + by, many[w]).astype(np.int64).view(np.uint64) * _SPREAD) * _FEW, np.repeat(row[w], many[w]))
+        few = lambda found: ((key * _FEW, k) for key, k in found)
+        of = lambda w, n, reach: _tuples(row[w], many[w], first[w], o, n, reach)
+        if asks:
+            n, rank = size[row], np.arange(len(row)) - heads[row]
+            alone = np.flatnonzero(n == 1)
+            found = chain(of((n > 3) & (rank < PLACES), 3, PLACES), few(of((n > 1) & (n <= 3), 2, PLACES)), (single(alone, by) for by in (-1, 0, 1)))
+        else:
+            order = np.lexsort((at, row))
+            kept = order[np.logical_or.reduceat(asked_for[(o & np.uint64(WORD_BITS - 1)).astype(np.int64)], first)[order]]
+            found = chain(of(order, 3, REACH), few(of(kept, 2, REACH)), [single(kept)])
+        for key, k in found:
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ids[k], mask[k].view(np.int64))], names=["key", "id", "mask"])
 
 
-def _lookups(placed: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """[((key, a, asked) of references, (key, b, held) of records)]; asked and held are 64-bit signatures of the words.
+def _lookups(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, a, asked) of references, (key, b, held) of records); asked and held are 64-bit signatures of the words.
 
     References of more than three words look up triples of their rarest, others pairs; the few of
     one word, however many they have lost, that word and its place, give or take one.
     """
-    every = "aggregate({0}, 0L, (m, h) -> m | shiftleft(1L, cast(pmod(h, 64) AS int)))"
-    # Of a word with several options the most frequent stands for it.
-    ask = placed.where("asks").withColumns({"asked": F.expr(every.format("transform(p, x -> x.o[0])")), "p": F.slice("p", 1, PLACES), "n": F.size("p")})
-    has = placed.where("has").withColumns({"held": F.expr(every.format("flatten(p.o)")), "p": F.expr("array_sort(transform(p, x -> struct(x.at AS at, x.o AS o)))")})
-    alone = "flatten(transform(p[0].o, u -> array(xxhash64(u, p[0].at - 1), xxhash64(u, p[0].at), xxhash64(u, p[0].at + 1))))"
-    single = "flatten(transform(p, x -> transform(x.o, u -> xxhash64(u, x.at))))"
-    of = lambda df, keys, *rest: df.select(F.explode(F.expr(f"array_distinct({keys})")).alias("key"), *rest)
-    a, b = [F.col("id").alias("a"), "asked"], [F.col("id").alias("b"), "held"]
-    many = of(ask.where("n > 3"), _tuples("p", 3, PLACES), *a), of(has, _tuples("p", 3, REACH), *b)
-    short = ask.where("n <= 3")
-    few = of(short, f"CASE WHEN n > 1 THEN {_tuples('p', 2, PLACES)} ELSE {alone} END", *a)
     # Few references have so few words, and of a record only their words are needed: a bitmap of fixed size tells them.
-    bit = lambda h: F.pmod(h, F.lit(WORD_BITS))
-    rows = short.select(F.explode(F.flatten("p.o")).alias("h")).select(bit(F.col("h")).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).collect()
-    bits = [0] * (WORD_BITS // 64)
-    for r in rows:
-        bits[r["word"]] = r["bits"]
-    asked_for = lambda h: F.call_function("shiftrightunsigned", F.get(F.lit(bits).cast("array<bigint>"), (bit(h) / 64).cast("int")), (bit(h) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    kept = has.withColumn("p", F.filter("p", lambda x: F.exists(x["o"], asked_for))).where("size(p) > 0")
-    return [many, (few, of(kept, f"concat({_tuples('p', 2, REACH)}, {single})", *b))]
+    short = placed.where("side % 2 = 1 AND size(at) <= 3").select(F.explode("o").alias("h")).select(F.pmod("h", F.lit(WORD_BITS)).alias("bit"))
+    asked_for = np.zeros(WORD_BITS, bool)
+    for r in short.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).collect():
+        asked_for[r["word"] * 64 : r["word"] * 64 + 64] = [r["bits"] >> k & 1 for k in range(64)]
+    one, other = (placed.where(side).mapInArrow(lambda batches, asks=asks: _keys(batches, asks, asked_for), "key bigint, id bigint, mask bigint") for side, asks in (("side % 2 = 1", True), ("side > 1", False)))
+    return one.select("key", F.col("id").alias("a"), F.col("mask").alias("asked")), other.select("key", F.col("id").alias("b"), F.col("mask").alias("held"))
 
 
 def title_pairs(titles: DataFrame) -> DataFrame:
@@ -549,27 +717,76 @@ def title_pairs(titles: DataFrame) -> DataFrame:
     before a pair leaves the join.
     """
     alike = "a <> b AND 2 * bit_count(asked & ~held) < greatest(bit_count(asked), 1)"
-    many, few = (a.join(b, "key").where(alike).select("a", "b") for a, b in _lookups(cut(_placed(titles))))
-    pairs = many.union(few).distinct()
+    one, other = _lookups(cut(_placed(titles)))
+    # The keys take many times the room of their words, by which Spark would judge whether to broadcast them.
+    pairs = one.hint("merge").join(other, "key").where(alike).select("a", "b").distinct()
     texts = titles.select("id", "title")
     # The texts are distinct: they make even hash tables, and no side is sorted.
     one, two = (texts.select(F.col("id").alias(i), F.col("title").alias(t)).hint("shuffle_hash") for i, t in (("a", "x"), ("b", "y")))
     wide = pairs.join(one, "a").join(two, "b")
     most = f"cast(length(x) * {CHANGED}D + {SLACK} AS int)"
-    wide = wide.where("length(y) + 2 >= length(x) * 0.7D").where(f"levenshtein(x, left(y, length(x)), {most}) >= 0")
+    wide = wide.where("length(y) + 2 >= length(x) * 0.7D")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, others, x, y = (c.to_pylist() for c in batch.columns)
-            found = [(i, j, *e) for i, j, p, q in zip(ids, others, x, y) if (e := compare_titles(p, q))[0] > 0]
-            columns = list(zip(*found)) if found else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.bool_()])], names=["a", "b", "t", "covered", "more"])
-
-    compared = wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, t double, covered double, more boolean")
+            found = [(k, *e) for k, (p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3)))) if (e := compare_titles(p, q))[0] > 0]
+            at, *columns = list(zip(*found)) if found else [()] * 4
+            columns = [pa.array(c, k) for c, k in zip(columns, [pa.float64(), pa.float64(), pa.bool_()])]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, *columns], names=["a", "b", "x", "y", "t", "covered", "more"])
+
+    # Most pairs end at their first words, so letters are counted where words agree.
+    compared = wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, x string, y string, t double, covered double, more boolean")
+    compared = compared.where(f"levenshtein(x, left(y, length(x)), {most}) >= 0").drop("x", "y")
     equal = titles.where("asks AND has").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("t"), F.lit(1.0).alias("covered"), F.lit(False).alias("more"))
     return cut(equal.union(compared))
 
 
+def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    solved: dict[Evidence, list[float]] = {}  # equal evidence gives equal confidences
+    alike: dict[tuple[int, ...], Twins] = {}  # the records of a title meet again in each of its references
+    numbers = remembered = 0
+    for whole in batches:
+        for batch in slices(whole, 1, HELD):
+            if remembered > ALIKE:
+                alike.clear()
+                remembered = 0
+            sigs, lists, more = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            # Offsets count from the start of the whole batch's values.
+            ends, more_ends = lists.offsets.to_pylist(), more.offsets.to_pylist()
+            first, more_first = ends[0], more_ends[0]
+            ends, more_ends = [k - first for k in ends], [k - more_first for k in more_ends]
+            held, more_held = lists.values.slice(first, ends[-1]), more.values.slice(more_first, more_ends[-1])
+            t, people, year, doi, works, names, surnames_ = (held.field(k).to_pylist() for k in range(7))
+            people = [p if p is not None else people_agree(x.split(), y.split()) for p, x, y in zip(people, names, surnames_)]
+            records = list(map(Described._make, zip(*(more_held.field(k).to_pylist() for k in range(5)))))
+            asked: list[tuple[int, list[int], Evidence]] = []
+            evidence = list(zip(t, people, year, doi))
+            for k, sig in enumerate(sigs):
+                lo, n = ends[k], ends[k + 1] - ends[k]
+                if n == 1:
+                    asked.append((sig, [works[lo]], ((evidence[lo],), ())))
+                    continue
+                order = sorted(range(lo, lo + n), key=works.__getitem__)
+                ids = tuple(works[i] for i in order)
+                if ids not in alike:
+                    alike[ids] = twins_among([records[more_ends[k] + i - lo] for i in order])
+                    remembered += n + 3 * len(alike[ids])
+                # In the order of the evidence, so that equal evidence meets again.
+                by = sorted(range(n), key=lambda i: evidence[order[i]])
+                place = {i: p for p, i in enumerate(by)}
+                twins = sorted((*sorted((place[i], place[j])), same) for i, j, same in alike[ids])
+                asked.append((sig, [ids[i] for i in by], (tuple(evidence[order[i]] for i in by), tuple(twins))))
+            new = list({e: None for _, _, e in asked if e not in solved})
+            solved.update((e, decided(e, v)) for e, v in zip(new, _blocks(new)))
+            numbers += sum(6 * len(e[0]) + 3 * len(e[1]) for e in new)
+            out = [(sig, work, round(v, 4)) for sig, ids, e in asked for work, v in zip(ids, solved[e]) if v >= MATCH]
+            if numbers > SOLVED:
+                solved.clear()
+                numbers = 0
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64()])], names=["sig", "work", "confidence"])
+
+
 def link(refs: DataFrame, records: DataFrame, counts: dict[int, int]) -> DataFrame:
     """(ref_id, work_id, confidence) for refs (id, title, people string, year, doi) and records (id, title, people array, year, doi)."""
     # Equal descriptions are matched once, under their 64-bit signature.
@@ -595,50 +812,6 @@ def link(refs: DataFrame, records: DataFrame, counts: dict[int, int]) -> DataFra
     # A reference has as many candidates as there are different records of its title: a bounded group of distinct works.
     grouped = judged.groupBy("sig").agg(F.collect_list(F.struct(light.alias("c"), full.alias("d"))).alias("g")).select("sig", F.expr("g.c").alias("c"), F.expr("CASE WHEN size(g) > 1 THEN g.d ELSE array() END").alias("d"))
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solved: dict[Evidence, list[float]] = {}  # equal evidence gives equal confidences
-        alike: dict[tuple[int, int], float] = {}
-        numbers = 0
-        for whole in batches:
-            for batch in slices(whole, 1, HELD):
-                if len(alike) > ALIKE:
-                    alike.clear()
-                sigs, lists, more = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-                # Offsets count from the start of the whole batch's values.
-                ends, more_ends = lists.offsets.to_pylist(), more.offsets.to_pylist()
-                first, more_first = ends[0], more_ends[0]
-                ends, more_ends = [k - first for k in ends], [k - more_first for k in more_ends]
-                held, more_held = lists.values.slice(first, ends[-1]), more.values.slice(more_first, more_ends[-1])
-                t, people, year, doi, works, names, surnames_ = (held.field(k).to_pylist() for k in range(7))
-                people = [p if p is not None else people_agree(x.split(), y.split()) for p, x, y in zip(people, names, surnames_)]
-                records = list(map(Described._make, zip(*(more_held.field(k).to_pylist() for k in range(5)))))
-                asked: list[tuple[int, list[int], Evidence]] = []
-                evidence = list(zip(t, people, year, doi))
-                for k, sig in enumerate(sigs):
-                    lo, n = ends[k], ends[k + 1] - ends[k]
-                    if n == 1:
-                        asked.append((sig, [works[lo]], ((evidence[lo],), ((0.0,),))))
-                        continue
-                    order = sorted(range(lo, lo + n), key=lambda i: (evidence[i], works[i]))
-                    ids, own = [works[i] for i in order], [records[more_ends[k] + i - lo] for i in order]
-                    twins = [[0.0] * n for _ in range(n)]
-                    for i in range(n):
-                        for j in range(i):
-                            pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
-                            if pair not in alike:  # the records of a work meet again in each of its references
-                                alike[pair] = twin_value(own[i], own[j])
-                            twins[i][j] = twins[j][i] = alike[pair]
-                    asked.append((sig, ids, (tuple(evidence[i] for i in order), tuple(map(tuple, twins)))))
-                new = list({e: None for _, _, e in asked if e not in solved})
-                solved.update((e, decided(e, v)) for e, v in zip(new, blocks(new)))
-                numbers += sum(len(e[0]) * (len(e[0]) + 5) for e in new)
-                out = [(sig, work, round(v, 4)) for sig, ids, e in asked for work, v in zip(ids, solved[e]) if v >= MATCH]
-                if numbers > SOLVED:
-                    solved.clear()
-                    numbers = 0
-                columns = list(zip(*out)) if out else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64()])], names=["sig", "work", "confidence"])
-
     matched = grouped.mapInArrow(solve, "sig bigint, work bigint, confidence double")
     to_works = matched.join(work_ids.select(F.col("id").alias("work_id"), F.col("sig").alias("work")), "work")
     return ref_ids.withColumnRenamed("id", "ref_id").join(to_works, "sig").select("ref_id", "work_id", "confidence").distinct()

@@ -169,6 +169,81 @@ def test_titles_whose_two_rarest_words_are_misspelt_on_either_side(spark):
     assert got >= {(0, 1), (2, 3), (4, 5)}
 
 
+def test_candidates_of_one_kind_share_a_variable(monkeypatch):
+    random.seed(9)
+    w, groups, sizes, rules = linkage.WEIGHTS, [], [3, 5, 8, 12, 150], []
+    for n in sizes:
+        evidence = [(t, p, y, 0.0) for t, p, y in ((0.75, -1.0, -1.0), (0.75, 0.0, 0.7), (1.0, 1.0, -1.0))]
+        pairs = tuple(random.choice(evidence) for _ in range(n))
+        same = [[0.0] * n for _ in range(n)]
+        for _ in range(1 + n // 15):
+            i, j = random.sample(range(n), 2)
+            same[i][j] = same[j][i] = 0.95
+        groups.append((pairs, tuple(map(tuple, same))))
+    solve = linkage.Field.solve
+    monkeypatch.setattr(linkage.Field, "solve", lambda f, **k: rules.append(len(f.rules)) or solve(f, **k))
+    got = [linkage.blocks([g])[0] for g in groups]
+    assert rules[-1] < 1000  # 11,000 where each candidate has a variable of its own
+    for (pairs, same), y in zip(groups[:-1], got):
+        f = linkage.Field(len(pairs))
+        for i, (t, people, year, _) in enumerate(pairs):
+            rule = [(w["prior"], 1.0, 0.0), (w["title"] * (1.0 if t > 0.8 else 0.4), -1.0, t), (w["people"] * (people > 0), -1.0, min(1.0, t + 0.2)), (w["no_people"] * (people < 0), 1.0, 0.0), (w["no_year"] * (year < 0), 1.0, 0.0), (0.8 * year * (year > 0.5), -1.0, 1.0)]
+            for weight, c, d in rule:
+                f.rule(weight, {i: c}, d)
+            for j in range(i):
+                if same[i][j]:
+                    f.rule(w["twin"], {i: 1.0, j: -1.0}, same[i][j] - 1)
+                    f.rule(w["twin"], {j: 1.0, i: -1.0}, same[i][j] - 1)
+                else:
+                    f.rule(w["exclusive"], {i: 1.0, j: 1.0}, -1.0)
+        assert abs(f.solve() - y).max() < 0.006
+
+
+def test_twins_are_sought_where_people_or_years_allow_them(monkeypatch):
+    random.seed(10)
+    name = lambda: "".join(random.choice("abcdefghijklmnop") for _ in range(7))
+    records = [linkage.Described(f"pages in early printing {name()}", 4, False, [name() for _ in range(random.randint(0, 2))], random.choice([None, *range(1900, 2020)])) for _ in range(60)]
+    for r in records[:20]:  # misspelt in title or people, or a year later
+        records.append(r._replace(title=r.title[:-1], people=[p[1:] for p in r.people], year=r.year and r.year + random.choice([1, 9])))
+    every = {(j, i, v) for i in range(len(records)) for j in range(i) if (v := linkage.twin_value(records[i], records[j]))}
+    compared, value = [], linkage.twin_value
+    monkeypatch.setattr(linkage, "twin_value", lambda a, b: compared.append(1) or value(a, b))
+    assert set(linkage.twins_among(records)) == every and len(every) >= 20 and len(compared) < 0.8 * len(records) * (len(records) - 1) / 2
+
+
+def test_keys_of_words_equal_brute_force():
+    from itertools import combinations, product
+
+    import numpy as np
+    import pyarrow as pa
+
+    random.seed(11)
+    rows = [[[random.getrandbits(63) for _ in range(random.randint(1, 3))] for _ in range(random.randint(1, 12))] for _ in range(40)]
+    words = [(k, o) for k, row in enumerate(rows) for o in row]
+    many = np.array([len(o) for _, o in words])
+    flat = np.array([h for _, o in words for h in o], np.uint64)
+    held, linkage.KEYS = linkage.KEYS, 50
+    try:
+        for size, reach in ((2, 4), (3, 4), (2, 8), (3, 8)):
+            got = sorted((int(r), int(h)) for keys, at in linkage._tuples(np.array([k for k, _ in words]), many, np.cumsum(many) - many, flat, size, reach) for h, r in zip(keys, at))
+            expected = []
+            for k, row in enumerate(rows):
+                for at in combinations(range(len(row)), size):
+                    if at[-1] - at[0] < reach:
+                        for choice in product(*(row[i] for i in at)):
+                            key = 0
+                            for h in choice:
+                                key ^= h
+                            expected.append((k, key))
+            assert got == sorted(expected)
+    finally:
+        linkage.KEYS = held
+    # Rows of an id are gathered across batches.
+    table = pa.table({"id": pa.array([k for k, _ in words], pa.int64()), "side": pa.array([3] * len(words), pa.int32()), "at": pa.array(range(len(words)), pa.int32()), "o": pa.array([o for _, o in words], pa.list_(pa.int64()))})
+    got = [r for b in linkage._gathered(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert [r["id"] for r in got] == list(range(len(rows))) and [r["o"] for r in got] == [[h for o in row for h in o] for row in rows] and [r["many"] for r in got] == [[len(o) for o in row] for row in rows]
+
+
 # 2. Scanned pages
 
 WORDS = {w: 100 for w in "the quiet modern house of reading was reported by writers in ulvhain hygiene and so it carried on across several parishes near both files survive".split()}
