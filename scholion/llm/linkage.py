@@ -135,10 +135,11 @@ def surnames(people: list[str]) -> list[str]:
 
 @lru_cache(REMEMBERED)
 def _letters(word: str) -> int:
-    """The letters of a word as bits; several may share one."""
+    """The letters of a word as bits, one for the first and one for a second of a kind; several letters may share them."""
     bits = 0
     for c in word:
-        bits |= 1 << (ord(c) & 63)
+        bit = 1 << (ord(c) & 31)
+        bits |= bit << 32 if bits & bit else bit
     return bits
 
 
@@ -196,18 +197,22 @@ def compare_titles(a: str, b: str) -> tuple[float, float, bool]:
     i = j = lo
     edits, used, extra = 0, sum(map(len, y[:lo])), []
     while i < len(x) and j < len(y):
-        r = max(_reach(x[i]), _reach(y[j]))
-        n = _near(x[i], y[j], r)
-        if n <= r:
-            edits, used, i, j = edits + n, used + len(y[j]), i + 1, j + 1
-        elif j + 1 < len(y) and _near(x[i], y[j + 1], _reach(x[i])) <= _reach(x[i]) and len(y[j]) < 4 and not y[j].isdigit():
-            used, j, edits = used + len(y[j]), j + 1, edits + 1
-        elif i + 1 < len(x) and _near(x[i + 1], y[j], _reach(y[j])) <= _reach(y[j]) and len(x[i]) < 4 and not x[i].isdigit():
+        v, w = x[i], y[j]
+        p, q, far, other = len(v), len(w), _reach(v), _reach(w)
+        r = max(far, other)
+        # What lengths tell comes first.
+        if v == w:
+            used, i, j = used + q, i + 1, j + 1
+        elif abs(p - q) <= r and (n := _near(v, w, r)) <= r:
+            edits, used, i, j = edits + n, used + q, i + 1, j + 1
+        elif q < 4 and j + 1 < len(y) and not w.isdigit() and (v == y[j + 1] or _near(v, y[j + 1], far) <= far):
+            used, j, edits = used + q, j + 1, edits + 1
+        elif p < 4 and i + 1 < len(x) and not v.isdigit() and (x[i + 1] == w or _near(x[i + 1], w, other) <= other):
             i, edits = i + 1, edits + 1
-        elif j + 1 < len(y) and _near(x[i], y[j] + y[j + 1], r + 1) <= r + 1:
-            edits, used, i, j = edits + 1, used + len(y[j]) + len(y[j + 1]), i + 1, j + 2
-        elif i + 1 < len(x) and _near(x[i] + x[i + 1], y[j], r + 1) <= r + 1:
-            edits, used, i, j = edits + 1, used + len(y[j]), i + 2, j + 1
+        elif j + 1 < len(y) and abs(p - q - len(y[j + 1])) <= r + 1 and _near(v, w + y[j + 1], r + 1) <= r + 1:
+            edits, used, i, j = edits + 1, used + q + len(y[j + 1]), i + 1, j + 2
+        elif i + 1 < len(x) and abs(p + len(x[i + 1]) - q) <= r + 1 and _near(v + x[i + 1], w, r + 1) <= r + 1:
+            edits, used, i, j = edits + 1, used + q, i + 2, j + 1
         elif len(x[i]) < 4 and len(y[j]) < 4 and not x[i].isdigit() and not y[j].isdigit() and x[i] not in MARKERS and y[j] not in MARKERS:
             edits, used, i, j = edits + 1, used + len(y[j]), i + 1, j + 1
         else:
